@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nava.llm import mixing
+from nava.llm import licenses, mixing, topk
 from nava.session import ship, table
 
 
@@ -13,8 +13,18 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_licenses(spark, sf_dir):
+    """Licence phrases and notices of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_topk(spark, sf_dir):
+    """The five best inner products of every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {"op5_mixing": op5_mixing}
+    return {"op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op8_topk": op8_topk}
 
 
 def oracle_sql():
