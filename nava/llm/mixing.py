@@ -124,13 +124,6 @@ def mix(docs: DataFrame, seed: int = 17, block: int | None = None) -> DataFrame:
     parts = sizes.groupBy("key", "part").agg(F.sum("size").alias("part_size"))
     earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("key", "part", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("part_start"))
-    within = Window.partitionBy("key", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        sizes.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(parts, ["key", "part"])
-        .select("doc_id", "key", "size", (F.col("start") + F.col("part_start")).alias("start"))
-    )
-
     # Slots of each source; the rank of a slot, modulo the source's blocks, is the block that it takes.
     won = shares.join(schedule(shares, slots).groupBy("key").agg(F.count("*").alias("won")), "key", "left").select(
         "key",
@@ -139,13 +132,20 @@ def mix(docs: DataFrame, seed: int = 17, block: int | None = None) -> DataFrame:
         F.coalesce("won", F.lit(0)).alias("won"),
         F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long").alias("blocks"),
     )
+    # What holds for a source reaches its documents by part, so that a large source is dealt to many tasks.
+    within = Window.partitionBy("key", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        sizes.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
+        .join(parts.join(won, "key"), ["key", "part"])
+        .withColumn("start", F.col("start") + F.col("part_start"))
+    )
+
     times = F.least(F.lit(MOST_TIMES), F.floor(F.col("won") / F.col("blocks"))).cast("long")
     full = F.col("times") * F.col("size")
     # Blocks below `more` are taken once more; they end at word more * block of the stream.
     extra = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("more") * block) - F.col("start"))
     return (
-        placed.join(won, "key")
-        .withColumn("times", times)
+        placed.withColumn("times", times)
         .withColumn("more", F.when(times >= MOST_TIMES, 0).otherwise(F.col("won") - F.col("blocks") * F.floor(F.col("won") / F.col("blocks"))))
         .select(
             "doc_id",

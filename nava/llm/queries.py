@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from nava.llm import bpe, gif, licenses, mixing, topk
+from nava.session import table
 
-from nava.llm import licenses, mixing, topk
-from nava.session import ship, table
+
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; the package that holds it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark, sf_dir):
+    """Encode and decode all documents."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op5_mixing(spark, sf_dir):
@@ -23,8 +33,13 @@ def op8_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_gif(spark, sf_dir):
+    """Every document as a GIF, read back."""
+    return gif.store(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op8_topk": op8_topk}
+    return {"op2_bpe": op2_bpe, "op9_gif": op9_gif, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op8_topk": op8_topk}
 
 
 def oracle_sql():
