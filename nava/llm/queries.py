@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nava.llm import bpe, gif, licenses, mixing, topk
+from nava.llm import bpe, gif, htmltext, licenses, mixing, topk
 from nava.session import table
 
 
@@ -18,6 +18,11 @@ def op2_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_html(spark, sf_dir):
+    """The main text of all pages."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark, sf_dir):
     """Mix all documents to the sources' target weights."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -39,7 +44,7 @@ def op9_gif(spark, sf_dir):
 
 
 def queries():
-    return {"op2_bpe": op2_bpe, "op9_gif": op9_gif, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op8_topk": op8_topk}
+    return {"op2_bpe": op2_bpe, "op3_html": op3_html, "op9_gif": op9_gif, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op8_topk": op8_topk}
 
 
 def oracle_sql():
