@@ -1,10 +1,10 @@
 """Licence scan with a positional rare-token index. DataFrame functions only.
 
 The words of all licence templates form one vocabulary. One pass over the texts keeps each file's places of vocabulary words. A
-word's weight falls with the share of files that hold it (counted over all files); the words of a file with the highest weights
-look up the template postings (template, position), and a posting's place in the file minus its place in the template names an
-alignment. Each alignment that was looked up is scored by all its words: the weight that it matches over the template's weight.
-An alignment counts if its score reaches MIN_SCORE and the template's mandatory phrase stands at its place in the same alignment.
+word's weight falls with the share of files that hold it (counted over all files); the rarest words of each template are the index,
+the index words of a file with the highest weights look up the template postings (template, position), and a posting's place in the
+file minus its place in the template names an alignment. Each alignment that was looked up is scored by all its words: the weight
+that it matches over the template's weight. An alignment counts if its score reaches MIN_SCORE and the template's mandatory phrase stands at its place in the same alignment.
 
 Nulls, ties and edges: a null text is an empty one; without a match the labels are "" and the score 0; repeated rows give equal
 rows; an empty table gives an empty result; other columns are ignored. Very long files cost in proportion to their vocabulary
@@ -36,9 +36,10 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
     ("proprietary", "all rights reserved", "all rights reserved"),
 )
-#: Share of a template's weight that an alignment must match, and how many of a file's distinct words look up templates.
+#: Share of a template's weight that an alignment must match; index words of a template; index words of a file that look up.
 MIN_SCORE = 0.7
-LOOKUPS = 8
+ANCHORS = 4
+LOOKUPS = 12
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of the text before lower-casing: the class [^\x00-\x2F\x3A-\x60\x7B-\x7F] and A-Z.
@@ -71,16 +72,6 @@ def hits(docs: DataFrame) -> DataFrame:
     )
 
 
-def postings(spark) -> DataFrame:
-    """template, label, kind, tpos, word, needed: whether the word belongs to the mandatory phrase. Bounded by the fixed lists."""
-    rows = []
-    for k, (label, text, phrase) in enumerate(TEMPLATES):
-        words, need = text.split(), phrase.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(need)] == need)
-        rows += [(k, label, i, w, at <= i < at + len(need)) for i, w in enumerate(words)]
-    return spark.createDataFrame(rows, "template int, label string, tpos int, word string, needed boolean")
-
-
 def base_places(found: DataFrame) -> DataFrame:
     """row_id, n_base, first_word, last_word, base labels: where a phrase's words stand consecutively."""
     rows = [(k, label, len(p.split()), i, w) for k, (p, label) in enumerate(BASE) for i, w in enumerate(p.split())]
@@ -101,32 +92,41 @@ def base_places(found: DataFrame) -> DataFrame:
     )
 
 
+def word_weights(found: DataFrame) -> dict[str, int]:
+    """A weight for each vocabulary word: the binary digits of (files / files that hold it), counted over all files.
+
+    Whole numbers, so sums don't depend on their order. The result has a row for each word of the fixed lists.
+    """
+    words = F.array_distinct(F.transform("hits", lambda h: h["word"]))
+    held = found.select(F.explode(words).alias("word")).groupBy("word").count()
+    files = found.count()
+    counts = {r["word"]: r["count"] for r in held.collect()}
+    return {w: (files // max(1, counts.get(w, 0))).bit_length() for w in vocabulary()}
+
+
 def matches(found: DataFrame) -> DataFrame:
-    """row_id, score, labels of the templates that the file matches."""
+    """row_id, score, labels of the templates that the file matches.
+
+    The index holds the ANCHORS highest-weighted words of each template. Files without any of these are done; of the others the
+    LOOKUPS highest-weighted index words look up templates, and alignments found so are scored by all vocabulary words.
+    """
     spark = found.sparkSession
-    index = postings(spark)
-    # Weights: 1000 times the binary digits of files per file that holds the word, whole numbers so that sums don't depend on order.
-    files = found.agg(F.greatest(F.count("*"), F.lit(1)).alias("files"))
-    held = found.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").count()
-    weights = (
-        index.select("word").distinct().join(F.broadcast(held), "word", "left").join(F.broadcast(files))
-        .select("word", (F.length(F.bin((F.col("files") / F.greatest(F.coalesce("count", F.lit(1)), F.lit(1))).cast("long")))).cast("long").alias("weight"))
+    weights = word_weights(found)
+    rows = []
+    for k, (label, text, phrase) in enumerate(TEMPLATES):
+        words, need = text.split(), phrase.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(need)] == need)
+        whole = sum(weights[w] for w in words)
+        rows += [(k, label, whole, len(need), i, w, weights[w], at <= i < at + len(need)) for i, w in enumerate(words)]
+    index = spark.createDataFrame(
+        rows, "template int, label string, whole long, must long, tpos int, word string, weight long, needed boolean"
     )
-    index = index.join(F.broadcast(weights), "word")
-    whole = index.groupBy("template").agg(F.sum("weight").alias("whole"), F.sum(F.col("needed").cast("int")).alias("must"))
-    index = stored(index.join(F.broadcast(whole), "template"), "license-index")
-    weight_of = stored(weights, "license-weights")
-    best = {r["word"]: r["weight"] for r in weight_of.collect()}  # a row for each vocabulary word
-    weight = F.create_map(*[F.lit(x) for pair in sorted(best.items()) for x in pair]) if best else None
-    if weight is None:
-        return found.select("row_id", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("more")).limit(0)
-    # The file's LOOKUPS words of highest weight, ties to the smaller word.
-    distinct = F.array_distinct(F.transform("hits", lambda h: h["word"]))
-    order = F.array_sort(F.transform(distinct, lambda w: F.struct((-F.element_at(weight, w)).alias("w"), w.alias("word"))))
-    looked = F.transform(F.slice(order, 1, LOOKUPS), lambda x: x["word"])
+    rare = {w for _, text, _ in TEMPLATES for w in sorted(set(text.split()), key=lambda w: (-weights[w], w))[:ANCHORS]}
+    ranked = sorted(rare, key=lambda w: (-weights[w], w))
+    present = F.array_intersect(F.array(*[F.lit(w) for w in ranked]), F.transform("hits", lambda h: h["word"]))
     exploded = (
-        found.where(F.size("hits") >= 2)
-        .withColumn("looked", looked)
+        found.where(F.exists("hits", lambda h: h["word"].isin(ranked)))
+        .select("row_id", "hits", F.slice(present, 1, LOOKUPS).alias("looked"))
         .select("row_id", "looked", F.explode("hits").alias("h"))
         .select("row_id", "h.pos", "h.word", F.array_contains("looked", F.col("h.word")).alias("anchor"))
     )
