@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nava.llm import bpe, gif, htmltext, licenses, mixing, topk
+from nava.llm import bpe, gif, htmltext, licenses, mixing, quality, topk
 from nava.session import table
 
 
@@ -33,6 +33,11 @@ def op6_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark, sf_dir):
+    """A quality score for all documents."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_topk(spark, sf_dir):
     """The five best inner products of every fiftieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
@@ -44,7 +49,7 @@ def op9_gif(spark, sf_dir):
 
 
 def queries():
-    return {"op2_bpe": op2_bpe, "op3_html": op3_html, "op9_gif": op9_gif, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op8_topk": op8_topk}
+    return {"op2_bpe": op2_bpe, "op3_html": op3_html, "op9_gif": op9_gif, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op7_quality": op7_quality, "op8_topk": op8_topk}
 
 
 def oracle_sql():
