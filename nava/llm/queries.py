@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nava.llm import bpe, gif, htmltext, licenses, mixing, quality, topk
+from nava.llm import bpe, gif, htmltext, jaccard, licenses, mixing, quality, topk
 from nava.session import table
 
 
@@ -48,8 +48,13 @@ def op9_gif(spark, sf_dir):
     return gif.store(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard(spark, sf_dir):
+    """Near-duplicate groups of all documents."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op2_bpe": op2_bpe, "op3_html": op3_html, "op9_gif": op9_gif, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op7_quality": op7_quality, "op8_topk": op8_topk}
+    return {"op10_jaccard": op10_jaccard, "op2_bpe": op2_bpe, "op3_html": op3_html, "op9_gif": op9_gif, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op7_quality": op7_quality, "op8_topk": op8_topk}
 
 
 def oracle_sql():
