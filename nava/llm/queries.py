@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from nava.llm import bpe, gif, htmltext, jaccard, licenses, mixing, quality, topk
+from pyspark.sql import functions as F
+
+from nava.llm import bpe, gif, htmltext, jaccard, licenses, lmscore, mixing, quality, tokencount, topk
 from nava.session import table
 
 
@@ -13,6 +15,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_tokens(spark, sf_dir):
+    """Tokens of every line of all documents."""
+    import public_tokenizers
+
+    return tokencount.count(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_bpe(spark, sf_dir):
     """Encode and decode all documents."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
@@ -23,6 +32,15 @@ def op3_html(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+#: The source whose documents are the target of op4.
+TARGET_SOURCE = "src1"
+
+
+def op4_lmscore(spark, sf_dir):
+    """How near all documents are to those of TARGET_SOURCE, against all others."""
+    return lmscore.score(table(spark, sf_dir, "documents"), F.col("source") == TARGET_SOURCE)
+
+
 def op5_mixing(spark, sf_dir):
     """Mix all documents to the sources' target weights."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +72,7 @@ def op10_jaccard(spark, sf_dir):
 
 
 def queries():
-    return {"op10_jaccard": op10_jaccard, "op2_bpe": op2_bpe, "op3_html": op3_html, "op9_gif": op9_gif, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op7_quality": op7_quality, "op8_topk": op8_topk}
+    return {"op1_tokens": op1_tokens, "op4_lmscore": op4_lmscore, "op10_jaccard": op10_jaccard, "op2_bpe": op2_bpe, "op3_html": op3_html, "op9_gif": op9_gif, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op7_quality": op7_quality, "op8_topk": op8_topk}
 
 
 def oracle_sql():
