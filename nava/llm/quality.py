@@ -234,11 +234,15 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[
     return texts, windows["quality"].to_numpy(float)
 
 
+#: The score's column, of a name that no table has.
+SCORE = "__nava_score"
+
+
 def scored(docs: DataFrame, net: Network | None, columns: list[str]) -> DataFrame:
-    """The named columns of docs with score, from whole texts; columns holds no "score"."""
+    """The named columns of docs and SCORE, from whole texts."""
     ship(docs.sparkSession)
-    kept = docs.select(*columns, F.col("text").alias("__text") if "text" in columns else F.col("text"))
-    schema = docs.select(*columns).schema.add("score", "double")
+    kept = docs.select(*columns, F.col("text").alias("__nava_text"))
+    schema = docs.select(*columns).schema.add(SCORE, "double")
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +259,7 @@ def scored(docs: DataFrame, net: Network | None, columns: list[str]) -> DataFram
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     net = train(*sample(docs, labels))
-    return scored(docs, net, ["doc_id"]).select(
+    return scored(docs, net, ["doc_id"]).withColumnRenamed(SCORE, "score").select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
