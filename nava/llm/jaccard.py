@@ -50,9 +50,11 @@ VERIFY = 8
 SMALLEST_LARGE = 13
 #: Shingles whose repeats are counted at once.
 PIECE = 2_000_000
+#: Sets or pairs that a task remembers, to give them once; more may come again, which costs work and changes nothing.
+REMEMBERED = 100_000
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-BUCKETS = 128
+BUCKETS, FULL = 128, 255
 
 
 def needed(n: int, m: int) -> int:
@@ -99,8 +101,9 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (doc_id, n, k), and rows (token, times) for shingles that repeat within a piece of the input."""
-    names = ["doc_id", "n", "k", "token", "times"]
+    """A row for each document (doc_id, n, k, and a sketch the first time a piece has this set), and rows (token, times) for shingles
+    that repeat within a piece of the input."""
+    names = ["doc_id", "n", "k", "token", "times", "sketch"]
     seen: set[int] = set()
     held: list[np.ndarray] = []
     size = 0
@@ -113,23 +116,27 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
         values, counts = signed(values[counts > 1]), counts[counts > 1]
         none = pa.nulls(len(values), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(values), pa.array(counts.astype(np.int64))], names=names)
+        drawn = pa.nulls(len(values), pa.binary())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(values), pa.array(counts.astype(np.int64)), drawn], names=names)
 
     for batch in batches:
-        ids, sizes, keys = batch.column(0), [], []
+        ids, sizes, keys, drawn = batch.column(0), [], [], []
         for text in batch.column(1):
             own = shingle_set(text.as_py())
             key = set_key(own)
             sizes.append(len(own))
             keys.append(key)
+            drawn.append(None)
             if len(own) and key not in seen:
+                drawn[-1] = sketch(own)
                 seen.add(key)
                 held.append(own)
                 size += len(own)
                 if size >= PIECE:
                     yield repeats()
         none = pa.nulls(len(sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none, none], names=names)
+        columns = [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none, none, pa.array(drawn, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
     if held:
         yield repeats()
 
@@ -161,7 +168,7 @@ def lister(hot: np.ndarray, order: np.ndarray, small: int):
                 n, key = len(own), set_key(own)
                 if not n or key in seen:
                     continue
-                if len(seen) < PIECE:
+                if len(seen) < REMEMBERED:
                     seen.add(key)
                 if n <= small:
                     for c in subset_sizes(n):
@@ -219,7 +226,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def fresh(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
         """Candidates that this task hasn't given yet, as far as it remembers."""
-        if len(pairs) > 1_000_000:
+        if len(pairs) > REMEMBERED:
             pairs.clear()
         new = dict.fromkeys(zip(a.tolist(), b.tolist()))
         kept = [p for p in new if p not in pairs]
@@ -320,7 +327,7 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 j = j[allowed(np.full(len(j), n[i]), n[j], np.full(len(j), pos[i]), pos[j], np.full(len(j), prev[i]), prev[j])]
             new = [p for p in zip(np.minimum(k[i], k[j]).tolist(), np.maximum(k[i], k[j]).tolist()) if p not in given]
             if new:
-                if len(given) > 1_000_000:
+                if len(given) > REMEMBERED:
                     given.clear()
                 given.update(new)
                 a, b = zip(*new)
@@ -342,30 +349,29 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """A set's shingles by bucket, at most 65,535 in each; a full bucket counts as without bound."""
-    return np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 65535).astype(np.uint16).tobytes()
-
-
-def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["k", "n", "sketch"]
-        )
+    """A set's shingles by bucket; a bucket of FULL or more says nothing."""
+    return np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), FULL).astype(np.uint8).tobytes()
 
 
 def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches allow a link."""
     for batch in batches:
         a, b, n, m, left, right = batch.columns
-        x = np.frombuffer(b"".join(left.to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.int64)
-        y = np.frombuffer(b"".join(right.to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.int64)
-        full = ((x == 65535) | (y == 65535)).any(1)
-        good = full | (np.minimum(x, y).sum(1) >= needed_of(n.to_numpy(), m.to_numpy()))
+        x = np.frombuffer(b"".join(left.to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        y = np.frombuffer(b"".join(right.to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        full = ((x == FULL) | (y == FULL)).any(1)
+        good = full | (np.minimum(x, y).sum(1, dtype=np.int64) >= needed_of(n.to_numpy(), m.to_numpy()))
         keep = pa.array(good)
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
 
+def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, the key of the text's own set, text."""
+    for batch in batches:
+        own = [set_key(shingle_set(t.as_py())) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), batch.column(1)], names=["k", "own", "text"])
+
+
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole texts link; neighbouring rows share their first text."""
     last: tuple[int, np.ndarray] | None = None
@@ -388,8 +394,14 @@ class Join:
         self.spark = docs.sparkSession
         ship(self.spark)
         self.docs = docs.select("doc_id", "text")
-        described = stored(self.docs.mapInArrow(describe, "doc_id long, n long, k long, token long, times long"), "jaccard-described")
+        schema = "doc_id long, n long, k long, token long, times long, sketch binary"
+        described = stored(self.docs.mapInArrow(describe, schema), "jaccard-described")
         self.described = described.where("token is null").select("doc_id", "n", "k")
+        drawn = described.where("token is null and n > 0").groupBy("k").agg(
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")
+        )
+        self.classes = stored(drawn, "jaccard-classes")
+        self.repeated = not self.described.groupBy("doc_id").count().where("count > 1").isEmpty()
         repeats = described.where("token is not null").groupBy("token").agg(F.sum("times").alias("times"))
         # At most HOT_KEPT rows reach the driver.
         hot = repeats.where(F.col("times") >= HOT).orderBy(F.desc("times"), "token").limit(HOT_KEPT).toPandas()
@@ -405,11 +417,12 @@ class Join:
 
     def texts_of(self, keys: DataFrame) -> DataFrame:
         """k, text of one document of each class."""
-        reps = self.described.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id")).join(keys, "k", "left_semi")
-        reps = stored(reps, "jaccard-reps")
-        rows = reps.count()
-        chosen = F.broadcast(reps) if rows <= BROADCAST_IDS else reps
+        reps = stored(self.classes.select("k", "doc_id").join(keys, "k", "left_semi"), "jaccard-reps")
+        chosen = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
         texts = self.docs.join(chosen, "doc_id").select("k", "text")
+        if self.repeated:
+            # A repeated doc_id may bring the texts of other classes.
+            texts = texts.mapInArrow(keyed, "k long, own long, text string").where("k = own").select("k", "text").dropDuplicates(["k"])
         return texts
 
     def label(self) -> DataFrame:
@@ -425,12 +438,14 @@ class Join:
         joined = pairs.join(left, "a", "left").join(right, "b", "left")
         return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    def verify(self, pairs: DataFrame, texts: DataFrame, sketched: DataFrame) -> None:
+    def verify(self, pairs: DataFrame) -> None:
         """Adds the pairs that link."""
-        s = sketched.select(F.col("k").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("left"))
-        t = sketched.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("right"))
+        s = self.classes.select(F.col("k").alias("a"), "n", F.col("sketch").alias("left"))
+        t = self.classes.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("right"))
         likely = pairs.join(s, "a").join(t, "b").select("a", "b", "n", "m", "left", "right")
         likely = stored(likely.mapInArrow(bounded, "a long, b long"), "jaccard-likely")
+        keys = likely.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        texts = stored(self.texts_of(keys), "jaccard-texts")
         left = texts.select(F.col("k").alias("a"), F.col("text").alias("left"))
         right = texts.select(F.col("k").alias("b"), F.col("text").alias("right"))
         both = likely.join(right, "b").join(left, "a").select("a", "b", "left", "right")
@@ -440,17 +455,14 @@ class Join:
         pairs = self.found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("times"))
         pairs = stored(pairs, "jaccard-pairs")
         long = self.found.where("kind = 2")
-        keys = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(long.select(F.col("a").alias("k"))).distinct()
-        texts = stored(self.texts_of(keys), "jaccard-texts")
-        sketched = stored(texts.mapInArrow(sketches, "k long, n long, sketch binary"), "jaccard-sketches")
         # The likeliest partner of each class first: copies merge, and most other pairs then lie within a component.
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-        self.verify(best, texts, sketched)
+        self.verify(best)
         labels = self.label()
-        self.verify(self.between(pairs.select("a", "b"), labels), texts, sketched)
+        self.verify(self.between(pairs.select("a", "b"), labels).join(best, ["a", "b"], "left_anti"))
         if not long.isEmpty():
             labels = self.label()
-            self.verify(self.long_pairs(long, labels, pairs), texts, sketched)
+            self.verify(self.long_pairs(long, labels, pairs))
         return self.label()
 
     def long_pairs(self, long: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
