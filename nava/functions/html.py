@@ -8,17 +8,18 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from nava.functions import text as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """All HTML character references."""
     return texts.map(entities.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def absolute_url(bases: pd.Series, links: pd.Series) -> pd.Series:
     """A link resolved against its page."""
     return pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(bases, links)])

@@ -7,6 +7,11 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Types as objects: workers import this module, and there type names can't be parsed.
+LONG, DOUBLE, DOUBLES = T.LongType(), T.DoubleType(), T.ArrayType(T.DoubleType())
+LAG = T.StructType([T.StructField("lag", LONG), T.StructField("corr", DOUBLE)])
 
 
 def stable_seed(seed: int, split: str, key: str, variant: int) -> int:
@@ -15,7 +20,7 @@ def stable_seed(seed: int, split: str, key: str, variant: int) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") % 2**32
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LONG)
 def stable_seeds(seed: pd.Series, split: pd.Series, key: pd.Series, variant: pd.Series) -> pd.Series:
     return pd.Series([stable_seed(*x) for x in zip(seed, split, key, variant)])
 
@@ -48,7 +53,7 @@ def best_lag(reference: np.ndarray, other: np.ndarray, most: int) -> tuple[int,
     return -int(lags[inside][k]), float(abs(values[inside][k]) / norm)
 
 
-@F.pandas_udf("lag long, corr double")
+@F.pandas_udf(LAG)
 def best_lags(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([best_lag(x, y, m) for x, y, m in zip(a, b, most)], columns=["lag", "corr"])
 
@@ -60,7 +65,7 @@ def high_fraction(x: np.ndarray, rate: int, cutoff: float) -> float:
     return float(power[frequency > cutoff].sum() / (power.sum() + 1e-12))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def high_fractions(x: pd.Series, rate: pd.Series, cutoff: pd.Series) -> pd.Series:
     return pd.Series([high_fraction(a, r, c) for a, r, c in zip(x, rate, cutoff)])
 
@@ -77,7 +82,7 @@ def bandpass(x: np.ndarray, rate: int, low: float, high: float, order: int = 6)
     return np.fft.irfft(np.fft.rfft(padded) * gain, 2 * len(x))[: len(x)]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(DOUBLES)
 def bandpassed(x: pd.Series, rate: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
     return pd.Series([bandpass(a, r, lo, hi) for a, r, lo, hi in zip(x, rate, low, high)])
 

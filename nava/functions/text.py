@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the Persian pack: letters that reject a text, ordered replacements, discarded marks.
 PERSIAN_REJECT = r"[A-Za-z=āšة]"
@@ -38,7 +39,7 @@ def squeeze_zwnj(text: Column) -> Column:
     return squeeze(F.translate(text, "‌", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition; null stays null."""
     return texts.str.normalize("NFKC")
