@@ -8,9 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
-
 def doubles(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
 

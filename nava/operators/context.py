@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from nava.functions import text as T
 from nava.operators.constraints import first_reason
@@ -63,6 +64,11 @@ def input_fingerprint(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
+def _wider(df: DataFrame, *names: str) -> StructType:
+    """df's schema with further texts."""
+    return StructType([*df.schema.fields, *[StructField(n, StringType()) for n in names]])
+
+
 #: A scorer takes prompts and gives responses; it is called on batches within a worker.
 Scorer = Callable[[list[str]], list[str]]
 
@@ -72,7 +78,7 @@ def refine(df: DataFrame, session: str, order: str, text: str, scorer: Scorer, a
 
     Sessions are independent and rows of a session are one recording's, so a session is one group.
     """
-    schema = df.schema.add("response", "string").add("cleaned", "string")
+    schema = _wider(df, "response", "cleaned")
 
     def own(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, ignore_index=True)
@@ -99,7 +105,7 @@ def waves(df: DataFrame, session: str, order: list[str]) -> DataFrame:
 
 def transcribe(df: DataFrame, path: str, make: Callable[[], Callable[[list[str]], list[str | None]]], batch: int = 16) -> DataFrame:
     """Adds transcript and error: a model made once for each worker; a failing batch is tried again row by row."""
-    schema = df.schema.add("transcript", "string").add("error", "string")
+    schema = _wider(df, "transcript", "error")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()

@@ -28,6 +28,9 @@ def build(master: str = "local[*]", **conf: str) -> SparkSession:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so Python workers import it wherever they start."""
     context = spark.sparkContext
+    bytes_key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not context.getConf().contains(bytes_key):
+        spark.conf.set(bytes_key, "16m")  # whole texts: a batch is bounded by its bytes, not by its rows alone
     if getattr(context, "_nava_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))

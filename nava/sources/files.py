@@ -69,12 +69,12 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType, stric
     """JSON objects, one a line; blank lines don't count. Strict: a line that isn't such an object is an error."""
     fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     wide = T.StructType([*fields.fields, T.StructField("_corrupt_record", T.StringType())])
-    if not strict:
-        return spark.read.schema(wide).json(path).where("_corrupt_record is null").drop("_corrupt_record")
     lines = spark.read.text(path).where(F.trim("value") != "")
     rows = lines.select("value", F.from_json("value", wide, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"))
-    bad = rows.where(F.col("j._corrupt_record").isNotNull() | ~F.trim("value").startswith("{")).take(3)
-    if bad:
+    broken = F.col("j._corrupt_record").isNotNull() | ~F.trim("value").startswith("{")
+    if not strict:
+        rows = rows.where(~broken)
+    elif bad := rows.where(broken).take(3):
         raise SourceError(f"{path} has lines that aren't objects of this shape: {[r['value'][:80] for r in bad]}")
     return rows.select(*[F.col(f"j.{f.name}").alias(f.name) for f in fields.fields])
 
