@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -39,6 +40,19 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def unassigned() -> str:
+    """Ranges of code points that this Python's Unicode tables leave out, for a pattern's class."""
+    out, start = [], None
+    for c in range(0x110001):
+        free = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if free and start is None:
+            start = c
+        elif not free and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
+
+
 class Vocabulary:
     """A tokenizers file of kind BPE with word ends."""
 
@@ -64,6 +78,11 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
         self.pattern = regex.compile(split)
+        # Unicode tables differ between versions in what one of them lacks; such texts are cut by the library's own tables.
+        self.path = path
+        self.late = re.compile("[^\x00-\u0557]")
+        self.unassigned = re.compile(f"[{unassigned()}]")
+        self.cutter = None
         self.specials = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special)) if self.special else None
         symbols = byte_symbols()
         self.to_symbols = {b: symbols[b] for b in range(256)}
@@ -180,11 +199,22 @@ class Vocabulary:
 
     def _words(self, text: str) -> list[str]:
         if not text.isascii():
+            if self.late.search(text) and self.unassigned.search(text):
+                return self._cut(text)
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case is taken by character here, without the rule for a final sigma
                 text = text.replace("Σ", "σ")
         return self.pattern.findall(text.lower())
 
+    def _cut(self, text: str) -> list[str]:
+        """Words by the tokenizer library's normalizer and pattern."""
+        if self.cutter is None:
+            from tokenizers import Tokenizer
+
+            self.cutter = Tokenizer.from_file(self.path)
+        pieces = self.cutter.pre_tokenizer.pre_tokenize_str(self.cutter.normalizer.normalize_str(text))
+        return [bytes(self.from_symbols[ord(c)] for c in piece).decode() for piece, _ in pieces]
+
     def prepare(self, texts: list[list[str]]) -> None:
         """Learn what the texts hold and the table lacks."""
         if len(self.encoded) > KEPT_WORDS:

@@ -64,20 +64,28 @@ class Network:
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return np.tanh(np.maximum(pooled, 0) @ self.dense + self.dense_bias) @ self.out + self.out_bias[0]
 
-    def halves(self, data: np.ndarray) -> np.ndarray:
-        """Each half chunk's strongest answers; data is a whole number of half chunks and WIDTH - STEP bytes more."""
+    def halves(self, data: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+        """Each half chunk's strongest answers but for skipped places; data is whole half chunks and WIDTH - STEP bytes more."""
         found = self.answers(data)
+        found[skipped] = -1e9
         return found.reshape(-1, HALF // STEP, FILTERS).max(1)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probabilities of whole texts."""
-        counts = [max(1, -(-len(t) // HALF)) for t in texts]
+        # Padding ends each text, so the last filter places, which reach into the next text, hold nothing of this one.
+        counts = [-(-(len(t) + WIDTH - STEP) // HALF) for t in texts]
         data = b"".join([t.ljust(n * HALF, b"\0") for t, n in zip(texts, counts)]) + bytes(WIDTH - STEP)
         flat = np.frombuffer(data, np.uint8)
         size = PIECE // HALF * HALF
         whole = len(flat) - (WIDTH - STEP)
-        halves = np.concatenate([self.halves(flat[i : min(i + size, whole) + WIDTH - STEP]) for i in range(0, whole, size)])
         ends = np.cumsum(counts)
+        crossing = (ends[:, None] * (HALF // STEP) - 1 - np.arange(TAPS - 1)[::-1]).ravel()
+        parts = []
+        for start in range(0, whole, size):
+            stop = min(start + size, whole)
+            own = crossing[np.searchsorted(crossing, start // STEP) : np.searchsorted(crossing, stop // STEP)]
+            parts.append(self.halves(flat[start : stop + WIDTH - STEP], own - start // STEP))
+        halves = np.concatenate(parts)
         # A chunk is two neighbouring halves of one text; a text of one half is a chunk by itself.
         paired = np.maximum(halves, np.concatenate([halves[1:], halves[-1:]]))
         last = ends - 1
