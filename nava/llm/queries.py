@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nava.llm import bpe, gif, htmltext, jaccard, licenses, lmscore, mixing, quality, tokencount, topk
+from nava.llm import bpe, gif, htmltext, jaccard, licenses, lmscore, mixing, oracles, quality, tokencount, topk
 from nava.session import table
 
 
@@ -76,4 +76,5 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """SQL for op5, op6 and op8. Tokenizers, models, page and image codecs and the similarity join are held against brute force in the tests."""
+    return {"op5_mixing": oracles.mixing_sql(), "op6_licenses": oracles.licenses_sql(), "op8_topk": oracles.topk_sql()}
