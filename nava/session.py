@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -53,6 +55,7 @@ def shared_folder(spark: SparkSession) -> str:
         folder = getattr(context, "_nava_shared", None)
         if folder is None:
             folder = context._nava_shared = tempfile.mkdtemp(prefix="nava-shared-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder.rstrip("/")
 
 
