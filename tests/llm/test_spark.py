@@ -208,10 +208,15 @@ def near_copies():
     return rows + [(900, None), (901, ""), (902, " \n"), (903, "One"), (904, "one")]
 
 
-def test_jaccard(spark, empty):
+@pytest.mark.parametrize("batch", [10_000, 53])
+def test_jaccard(spark, empty, batch):
+    """Small batches cut lists, also long ones, at every place."""
     rows = near_copies()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("k", F.lit(1)).withColumn("n", F.lit(2))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == brute_groups(rows)
     assert jaccard.join(empty).count() == 0
 
