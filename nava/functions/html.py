@@ -97,3 +97,27 @@ def normalized_url(url: Column) -> Column:
     authority = F.try_parse_url(bare, F.lit("AUTHORITY"))
     good = F.lower(F.try_parse_url(bare, F.lit("PROTOCOL"))).isin("http", "https") & ~authority.contains("@") & ~authority.rlike(r":\d+$")
     return F.when(good, bare)
+
+
+def book_page(page: Column) -> Column:
+    """struct(title, description, authors, tracks): tracks are list items with a length, samples and full books marked."""
+    items = F.regexp_extract_all(page, F.lit(r"(?is)(<li\b[^>]*>.*?</li>)"), F.lit(1))
+    lengths = F.filter(items, lambda i: strip_tags(i).rlike(r"\d+:\d{2}"))
+
+    def track(item: Column) -> Column:
+        text = strip_tags(item)
+        return F.struct(
+            F.nullif(F.regexp_extract(item, r"(?i)href=[\"']([^\"']+)", 1), F.lit("")).alias("url"), text.alias("label"),
+            F.regexp_extract(text, r"(\d+(?::\d{2}){1,2})", 1).alias("length"),
+            text.rlike("(?i)sample|نمونه").alias("is_sample"), text.rlike("(?i)full|کامل").alias("is_full"),
+        )
+
+    return F.struct(title(page).alias("title"), meta(page, "og:description").alias("description"), field_values(page, "(?:Author|نویسنده)").alias("authors"), F.transform(lengths, track).alias("tracks"))
+
+
+def audio_candidates(page: Column) -> Column:
+    """Sources of audio elements: a JSON list in data-sources, with entities, or a src."""
+    tags = F.regexp_extract_all(page, F.lit(r"(?is)(<audio\b[^>]*>)"), F.lit(1))
+    listed = F.flatten(F.transform(tags, lambda t: F.coalesce(F.from_json(basic_unescape(F.regexp_extract(t, r"(?is)data-sources=[\"']([^\"']*)[\"']", 1)), "array<struct<src:string,label:string>>"), F.array().cast("array<struct<src:string,label:string>>"))))
+    plain = F.transform(tags, lambda t: F.struct(F.nullif(F.regexp_extract(t, r"(?i)\bsrc=[\"']([^\"']+)", 1), F.lit("")).alias("src"), F.lit(None).cast("string").alias("label")))
+    return F.filter(F.concat(listed, plain), lambda x: x["src"].isNotNull())

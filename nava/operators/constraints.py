@@ -94,3 +94,28 @@ def duration_window(df: DataFrame, column: str, least: float, most: float) -> Da
 def split_by_limit(df: DataFrame, size: Column, most: int) -> tuple[DataFrame, DataFrame]:
     """Rows within a size limit, and the others with their reason."""
     return df.where(size <= most), df.where(~F.coalesce(size <= most, F.lit(False))).withColumn("reason", F.lit("too_long"))
+
+
+def upload_reason(extension: Column, size: Column, seconds: Column, extensions: list[str], most_bytes: int, most_seconds: float) -> Column:
+    """Why an upload is refused, or null."""
+    return first_reason(
+        ("extension", ~F.coalesce(F.lower(extension).isin(extensions), F.lit(False))), ("empty", F.coalesce(size, F.lit(0)) <= 0),
+        ("size", size > most_bytes), ("duration", ~F.coalesce((seconds > 0) & (seconds <= most_seconds), F.lit(False))),
+    )
+
+
+def digits(text: Column) -> Column:
+    """The text if it is digits only, else null."""
+    return F.when(text.rlike(r"^\d+$"), text)
+
+
+#: What the codecs need; "drawn" fits either path.
+CODEC_PATHS = {
+    "g711_alaw": "narrow", "g711_mulaw": "narrow", "gsm": "narrow", "amr_nb": "narrow", "opus_nb": "narrow", "amr_wb": "wide", "opus_wb": "wide", "pass_through": "drawn",
+}
+
+
+def codec_fits(codec: Column, path: Column) -> Column:
+    """Whether a codec may stand in a channel path; unknown codecs don't."""
+    needed = F.try_element_at(F.create_map(*[F.lit(x) for pair in CODEC_PATHS.items() for x in pair]), codec)
+    return F.coalesce((needed == path) | (needed == "drawn"), F.lit(False))

@@ -95,3 +95,8 @@ def common(df: DataFrame, column: str) -> DataFrame:
 def no_leak(df: DataFrame, group: str, split: str) -> DataFrame:
     """Groups with rows in more than one split; empty if nothing leaks."""
     return df.groupBy(group).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
+
+
+def throughput(df: DataFrame, items: str, seconds: str, *groups: str) -> DataFrame:
+    """Items a second of whole groups; null where no time passed."""
+    return df.groupBy(*groups).agg(F.when(F.sum(seconds) > 0, F.sum(items) / F.sum(seconds)).alias("rate"))

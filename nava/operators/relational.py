@@ -223,3 +223,40 @@ def ordered_differences(left: DataFrame, right: DataFrame, ordinal: str) -> Data
 def labelled_union(tables: dict[str, DataFrame], label: str = "dataset") -> DataFrame:
     parts = [df.withColumn(label, F.lit(name)) for name, df in tables.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+# Orders and pairings
+
+
+def resumable_order(df: DataFrame, key: str, seed: str, epoch: int, skip: int = 0) -> DataFrame:
+    """Adds position: a permutation by seed and epoch, from which the first `skip` rows are left out."""
+    order = F.sha2(F.concat_ws("|", F.lit(seed), F.lit(str(epoch)), F.col(key).cast("string")), 256)
+    rows = running_sum(df.withColumn("__one", F.lit(1)), order, "__one", [key])
+    return rows.where(F.col("running") > skip).withColumn("position", (F.col("running") - 1).cast("long")).drop("__one", "__order", "running")
+
+
+def dealt(df: DataFrame, key: str, hands: int, seed: str) -> DataFrame:
+    """Adds hand: rows in seeded order are dealt in turn, so hands differ by one row at most."""
+    rows = resumable_order(df, key, seed, 0)
+    return rows.withColumn("hand", F.pmod("position", F.lit(hands)).cast("int")).drop("position")
+
+
+def zipped(left: DataFrame, right: DataFrame, ordinal: str) -> DataFrame:
+    """Rows of equal ordinals; an ordinal that only one side has is an error."""
+    alone = left.select(ordinal).join(right.select(ordinal), ordinal, "left_anti").unionByName(right.select(ordinal).join(left.select(ordinal), ordinal, "left_anti"))
+    if rows := alone.take(3):
+        raise ValueError(f"ordinals without a partner: {[r[0] for r in rows]}")
+    return left.join(right, ordinal)
+
+
+def readable_until(df: DataFrame, key: str, readable: Column, n: int, seed: str) -> DataFrame:
+    """The first n readable rows in seeded order."""
+    return seeded_sample(df.where(readable), key, n, seed)
+
+
+def lookup(df: DataFrame, name: Column, table: dict[str, dict[str, str | int]], fields: list[str]) -> DataFrame:
+    """Fields of a fixed dimension as columns, by a name; null for other names."""
+    for field in fields:
+        pairs = [F.lit(x) for k, v in table.items() for x in (k, v[field])]
+        df = df.withColumn(field, F.try_element_at(F.create_map(*pairs), name))
+    return df
