@@ -349,19 +349,29 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """A set's shingles by bucket; a bucket of FULL or more says nothing."""
-    return np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), FULL).astype(np.uint8).tobytes()
+    """A set's shingles by bucket, two of them in a bucket at most on average; a bucket of FULL or more says nothing."""
+    buckets = max(BUCKETS, 1 << (len(own) // 2 - 1).bit_length())
+    return np.minimum(np.bincount((own >> np.uint64(24)).astype(np.int64) & (buckets - 1), minlength=buckets), FULL).astype(np.uint8).tobytes()
+
+
+def may_link(left: bytes, right: bytes, o: int) -> bool:
+    """Whether two sketches allow an overlap of o. The larger one is folded to the smaller's buckets: both are powers of two."""
+    x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    if x.max() == FULL or y.max() == FULL:
+        return True
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        return bool(np.minimum(x, y.reshape(-1, len(x)).sum(0, dtype=np.int64)).sum() >= o)
+    return bool(np.minimum(x, y).sum(dtype=np.int64) >= o)
 
 
 def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches allow a link."""
     for batch in batches:
         a, b, n, m, left, right = batch.columns
-        x = np.frombuffer(b"".join(left.to_pylist()), np.uint8).reshape(-1, BUCKETS)
-        y = np.frombuffer(b"".join(right.to_pylist()), np.uint8).reshape(-1, BUCKETS)
-        full = ((x == FULL) | (y == FULL)).any(1)
-        good = full | (np.minimum(x, y).sum(1, dtype=np.int64) >= needed_of(n.to_numpy(), m.to_numpy()))
-        keep = pa.array(good)
+        o = needed_of(n.to_numpy(), m.to_numpy()).tolist()
+        keep = pa.array([may_link(x.as_py(), y.as_py(), z) for x, y, z in zip(left, right, o)], pa.bool_())
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
 
