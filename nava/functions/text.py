@@ -150,11 +150,21 @@ ALPHABET = "".join(map(chr, [*range(33, 127), *range(0x4E00, 0x9E00)]))
 
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Word edits: each distinct word of both texts becomes one character, and characters are compared."""
+    """Word edits: each distinct word of both texts becomes one character, and characters are compared.
+
+    Null for a pair with more distinct words than the alphabet has characters (20,574).
+    """
     words = lambda c: F.filter(F.split(squeeze(c), " "), lambda w: w != "")
-    known = F.array_distinct(F.concat(words(reference), words(hypothesis)))
-    coded = lambda c: F.array_join(F.transform(words(c), lambda w: F.substring(F.lit(ALPHABET), F.array_position(known, w).cast("int"), F.lit(1))), "")
-    return F.levenshtein(coded(reference), coded(hypothesis))
+    r, h = words(reference), words(hypothesis)
+    pair = F.struct(r.alias("r"), h.alias("h"), F.array_distinct(F.concat(r, h)).alias("known"))
+
+    def coded(s: Column, name: str) -> Column:
+        codes = F.split(F.lit(ALPHABET), "")  # folded to one literal: a code is read by its index
+        return F.array_join(F.transform(s[name], lambda w: F.get(codes, F.array_position(s["known"], w).cast("int") - 1)), "")
+
+    # The pair is bound once by a transform over one element; within a lambda its parts aren't computed again for each word.
+    distance = lambda s: F.when(F.size(s["known"]) <= len(ALPHABET), F.levenshtein(coded(s, "r"), coded(s, "h")))
+    return F.get(F.transform(F.array(pair), distance), F.lit(0))
 
 
 def word_count(text: Column) -> Column:

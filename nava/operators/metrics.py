@@ -17,10 +17,11 @@ def error_counts(df: DataFrame, reference: Column, hypothesis: Column) -> DataFr
     )
 
 
-def error_rates(df: DataFrame, *groups: str) -> DataFrame:
-    """Examples, wer, cer by group: edits over reference units of the whole group."""
+def error_rates(df: DataFrame, *groups: str, overall: bool = False) -> DataFrame:
+    """Examples, wer, cer by group: edits over reference units of the whole group. overall adds a row of all, in the same pass."""
     rate = lambda e, n: F.when(F.sum(n) > 0, F.sum(e) / F.sum(n)).otherwise(F.when(F.sum(e) > 0, 1.0).otherwise(0.0))
-    return df.groupBy(*groups).agg(F.count("*").alias("examples"), rate("word_edits", "words").alias("wer"), rate("char_edits", "chars").alias("cer"))
+    grouped = df.rollup(*groups) if overall else df.groupBy(*groups)
+    return grouped.agg(F.count("*").alias("examples"), rate("word_edits", "words").alias("wer"), rate("char_edits", "chars").alias("cer"))
 
 
 def value_counts(df: DataFrame, dimensions: dict[str, Column]) -> DataFrame:

@@ -405,8 +405,7 @@ p as (select conv_id, turn, role, array_to_string(w, ' ') as reference, array_to
 def wer_by_dataset(spark, sf_dir):
     """Word and character error rates by role and overall, over edits of whole texts."""
     rows = M.error_counts(_pairs(spark, sf_dir), F.col("reference"), F.col("hypothesis"))
-    both = M.error_rates(rows, "role").unionByName(M.error_rates(rows).withColumn("role", F.lit("all")))
-    return both.select("role", "examples", rounded("wer", "wer"), rounded("cer", "cer"))
+    return M.error_rates(rows, "role", overall=True).select(F.coalesce("role", F.lit("all")).alias("role"), "examples", rounded("wer", "wer"), rounded("cer", "cer"))
 
 
 @query(f"""with {_PAIRS}, e as (select role, levenshtein(reference, hypothesis) as edits, len(reference) as n from p)

@@ -235,7 +235,7 @@ def evaluation(tables: dict[str, DataFrame], make: Callable, normalize: Normaliz
     rows = rows.withColumn("reason", reason)
     scored = X.transcribe(rows.where("reason is null").drop("reason"), "path", make)
     scored = M.error_counts(scored.withColumn("hypothesis", F.coalesce(normalize(F.col("transcript")), F.lit(""))), F.col("reference"), F.col("hypothesis"))
-    rates = M.error_rates(scored, "dataset").unionByName(M.error_rates(scored).withColumn("dataset", F.lit("all")).select("dataset", "examples", "wer", "cer"))
+    rates = M.error_rates(scored, "dataset", overall=True).withColumn("dataset", F.coalesce("dataset", F.lit("all")))
     return scored.select("dataset", "path", "reference", "hypothesis"), rates, rows.where("reason is not null").select("dataset", "path", "reason")
 
 
