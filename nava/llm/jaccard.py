@@ -209,7 +209,7 @@ def allowed(n: np.ndarray, m: np.ndarray, pos_n: np.ndarray, pos_m: np.ndarray,
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads lists in order of (token, n, k). kind 0: candidate a, b; kind 1: link a, b; kind 2: a row of a long list.
 
-    Rows before a batch's last complete list wait for the next batch; of a long list only the last WINDOW rows wait.
+    Rows before a batch's last complete list wait for the next batch; of a long list only the last WINDOW classes wait.
     """
     names = ["kind", "token", "a", "b", "n", "pos", "prev"]
     carry: list[np.ndarray] | None = None
@@ -236,10 +236,6 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def lists(columns: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal carry, carried_long, hub
         token, k, n, pos, prev = columns
-        same = np.zeros(len(token), bool)
-        same[1:] = (token[1:] == token[:-1]) & (k[1:] == k[:-1])
-        if same.any():
-            token, k, n, pos, prev = (c[~same] for c in (token, k, n, pos, prev))
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(token)]]))
         length = np.repeat(lengths, lengths)
@@ -288,6 +284,12 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if carry is not None:
             columns = [np.concatenate([c, x]) for c, x in zip(carry, columns)]
+        # Copies in other tasks repeat a class in a list; what is counted and carried below are classes.
+        token, k = columns[:2]
+        same = np.zeros(len(token), bool)
+        same[1:] = (token[1:] == token[:-1]) & (k[1:] == k[:-1])
+        if same.any():
+            columns = [c[~same] for c in columns]
         token = columns[0]
         end = int(np.searchsorted(token, token[-1]))  # tokens are in order, so the last list begins here
         open_rows = len(token) - end

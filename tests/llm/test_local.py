@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -165,3 +166,17 @@ def test_quality_network_learns_unseen_junk():
     assert np.allclose(scores[:5], [net.score([t])[0] for t in texts[500:505]], atol=1e-4)
     assert ((0 <= net.score([b"", b"x" * 100_000])) & (net.score([b"", b"x" * 100_000]) <= 1)).all()
     assert quality.train(texts[:3], np.ones(3)) is None
+
+
+@pytest.mark.parametrize("batch", [40, 70, 333])
+def test_repeated_rows_of_a_long_list(batch):
+    """Copies in many partitions repeat each class in a list; every pair of classes still comes up, or both are in the long list."""
+    times = [1, 9, 3, 30, 2]
+    rows = [(token, k, 100, 0, 0) for token in (1, 2) for k in range(60) for _ in range(times[k % 5])]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+    table = pa.RecordBatch.from_arrays(columns, names=["token", "k", "n", "pos", "prev"])
+    found = [r for out in jaccard.scan(table.slice(i, batch) for i in range(0, len(rows), batch)) for r in out.to_pylist()]
+    pairs = {(r["a"], r["b"]) for r in found if r["kind"] == 0}
+    for token in (1, 2):
+        long = {r["a"] for r in found if r["kind"] == 2 and r["token"] == token}
+        assert all((i, j) in pairs or {i, j} <= long for j in range(60) for i in range(j))
