@@ -287,6 +287,35 @@ def test_lm_scores(docs, empty):
     assert lmscore.score(docs, F.lit(None).cast("boolean")).count() == len(TEXTS)
 
 
+def test_lm_counts_are_exact(spark):
+    """More bigrams than any fixed table; several pieces in each task; short documents too."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(90_000)}" for _ in range(rng.choice([1, 2, 5, 400]))), i % 3 == 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near boolean").repartition(3)
+    out = by_id(lmscore.score(df, F.col("near"), 40_000))
+    one, two = {}, {}
+    for side in (True, False):
+        texts = [t.split() for _, t, near in rows if near == side]
+        one[side] = collections.Counter(x for w in texts for x in w)
+        two[side] = collections.Counter(x for w in texts for x in zip(w, w[1:]))
+    totals = {side: sum(c.values()) for side, c in one.items()}
+
+    def loss(w, side):
+        scale, losses = totals[True] / totals[side], []
+        for i, x in enumerate(w):
+            p = 0.9 * one[side][x] / totals[side] + 0.1 / 2**lmscore.UNIGRAMS
+            if i:
+                p = (two[side][w[i - 1], x] * scale + 2 * p) / (one[side][w[i - 1]] * scale + 2)
+            losses.append(-np.log(p))
+        return float(np.mean(losses))
+
+    assert len(out) == len(rows)
+    for i, text, _ in rows[::7]:
+        w = text.split()
+        a, b = loss(w, True), loss(w, False)
+        assert tuple(out[i])[1:] == (len(w), pytest.approx(a), pytest.approx(b), pytest.approx(a - b, abs=1e-9))
+
+
 def test_quality(docs, empty, spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(48)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     out = by_id(quality.classify(docs, labels))
