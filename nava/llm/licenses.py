@@ -1,9 +1,9 @@
 """Licence scan with a positional rare-token index. DataFrame functions only.
 
 The words of all licence templates form one vocabulary. One pass over the texts keeps each file's places of vocabulary words. A
-word's weight falls with the share of files that hold it (counted over all files); the rarest words of each template are the index,
-the index words of a file with the highest weights look up the template postings (template, position), and a posting's place in the
-file minus its place in the template names an alignment. Each alignment that was looked up is scored by all its words: the weight
+word's weight falls with the share of files that hold it (counted over all files); the rarest word of each template's mandatory
+phrase is the index: no alignment counts without it. Files with an index word look up the template postings (template, position), and
+a posting's place in the file minus its place in the template names an alignment, scored by all its words: the weight
 that it matches over the template's weight. An alignment counts if its score reaches MIN_SCORE and the template's mandatory phrase stands at its place in the same alignment.
 
 Nulls, ties and edges: a null text is an empty one; without a match the labels are "" and the score 0; repeated rows give equal
@@ -36,8 +36,10 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
     ("proprietary", "all rights reserved", "all rights reserved"),
 )
-#: Share of a template's weight that an alignment must match; index words of a template; index words of a file that look up.
+#: Share of a template's weight that an alignment must match.
 MIN_SCORE = 0.7
+#: Caps that the SQL has (index words of a template; index words of a file that look up). The operator has none: where a file holds so many
+#: notices that the SQL's caps bind, the operator finds more.
 ANCHORS = 4
 LOOKUPS = 12
 
@@ -107,8 +109,8 @@ def word_weights(found: DataFrame) -> dict[str, int]:
 def matches(found: DataFrame) -> DataFrame:
     """row_id, score, labels of the templates that the file matches.
 
-    The index holds the ANCHORS highest-weighted words of each template. Files without any of these are done; of the others the
-    LOOKUPS highest-weighted index words look up templates, and alignments found so are scored by all vocabulary words.
+    The index holds the highest-weighted word of each template's mandatory phrase, so files without any of these have no match; of the
+    others all alignments are scored by all vocabulary words.
     """
     spark = found.sparkSession
     weights = word_weights(found)
@@ -121,20 +123,17 @@ def matches(found: DataFrame) -> DataFrame:
     index = spark.createDataFrame(
         rows, "template int, label string, whole long, must long, tpos int, word string, weight long, needed boolean"
     )
-    rare = {w for _, text, _ in TEMPLATES for w in sorted(set(text.split()), key=lambda w: (-weights[w], w))[:ANCHORS]}
-    ranked = sorted(rare, key=lambda w: (-weights[w], w))
-    present = F.array_intersect(F.array(*[F.lit(w) for w in ranked]), F.transform("hits", lambda h: h["word"]))
+    rare = sorted({max(phrase.split(), key=lambda w: (weights[w], w)) for _, _, phrase in TEMPLATES})
     exploded = (
-        found.where(F.exists("hits", lambda h: h["word"].isin(ranked)))
-        .select("row_id", "hits", F.slice(present, 1, LOOKUPS).alias("looked"))
-        .select("row_id", "looked", F.explode("hits").alias("h"))
-        .select("row_id", "h.pos", "h.word", F.array_contains("looked", F.col("h.word")).alias("anchor"))
+        found.where(F.exists("hits", lambda h: h["word"].isin(rare)))
+        .select("row_id", F.explode("hits").alias("h"))
+        .select("row_id", "h.pos", "h.word")
     )
     aligned = (
         exploded.join(F.broadcast(index), "word")
         .groupBy("row_id", "template", "label", "whole", "must", (F.col("pos") - F.col("tpos")).alias("start"))
-        .agg(F.sum("weight").alias("got"), F.sum(F.col("needed").cast("int")).alias("kept"), F.max("anchor").alias("anchored"))
-        .where(F.col("anchored") & (F.col("kept") == F.col("must")) & (F.col("got") >= MIN_SCORE * F.col("whole")))
+        .agg(F.sum("weight").alias("got"), F.sum(F.col("needed").cast("int")).alias("kept"))
+        .where((F.col("kept") == F.col("must")) & (F.col("got") >= MIN_SCORE * F.col("whole")))
     )
     return aligned.groupBy("row_id").agg(
         F.max(F.col("got") / F.col("whole")).alias("score"), F.collect_set("label").alias("more")

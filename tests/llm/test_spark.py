@@ -87,6 +87,15 @@ def test_licenses(docs, empty, spark):
     assert licenses.scan(empty).count() == 0
 
 
+def test_all_notices_of_a_file(spark):
+    """A file with every notice has every label, also where some notices are common and others rare."""
+    common = [t for label, t, _ in licenses.TEMPLATES if label in ("mit", "lgpl", "unlicense", "proprietary")]
+    rows = [(i, common[i % len(common)]) for i in range(60)] + [(60, " x\n".join(t for _, t, _ in licenses.TEMPLATES))] + [(i, "none") for i in range(61, 200)]
+    out = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert set(out[60]["labels"].split(",")) == {label for label, _, _ in licenses.TEMPLATES}
+    assert out[60]["score"] == 1
+
+
 def plain_targets(sizes):
     """Shares by weight, the excess over three times a size shared again until none is above."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
