@@ -3,7 +3,7 @@
 A page becomes a sequence of text nodes, each with the path of tags (and classes) from the root. For each distinct path the text
 length and the punctuation of all its nodes are added up and divided by the number of nodes. Both ratios are smoothed over the page
 order with a Gaussian, fused by multiplication, and the threshold is a share of their spread: paths above it are content.
-The lowest element that holds most of the content's length is the article; all text below it belongs to the result, but for the parts that
+The lowest element that holds nearly all of the content (length, fused with punctuation) is the article; all text below it belongs to the result, but for the parts that
 HTML or a class or id names as something else: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
 Where content lies in <article> or <main> elements, these are the articles.
 
@@ -202,9 +202,9 @@ def path_scores(nodes: list[tuple[str, Node, bool]]) -> dict[str, float]:
     return scores
 
 
-#: The threshold as a share of the scores' standard deviation, and the share of content length that the article must hold.
+#: The threshold as a share of the scores' standard deviation, and the share of the content (length by punctuation) that the article must hold.
 SPREAD = 0.5
-HOLDS = 0.5
+HOLDS = 0.9
 
 
 def main_text(page: str | None) -> str:
@@ -234,7 +234,8 @@ def main_text(page: str | None) -> str:
     held: dict[int, list] = {}
     whole = 0
     for text, node, _ in content:
-        whole += len(text)
+        weight = len(text) * (1 + len(PUNCTUATION.findall(text)))
+        whole += weight
         depth, up = 0, node
         chain = []
         while up is not None and up.parent is not None:
@@ -243,7 +244,7 @@ def main_text(page: str | None) -> str:
         for depth, up in enumerate(reversed(chain)):
             if up.tag in BLOCK and up.tag not in ("p", "li", "dt", "dd", "td", "th", "tr", "pre", "blockquote", *HEADINGS):
                 entry = held.setdefault(up.index, [0, depth, up])
-                entry[0] += len(text)
+                entry[0] += weight
     best = max((x for x in held.values() if x[0] >= HOLDS * whole), key=lambda x: x[1], default=None)
     if best is None:
         return "\n".join(t for t, _, _ in content)

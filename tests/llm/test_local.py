@@ -180,3 +180,15 @@ def test_repeated_rows_of_a_long_list(batch):
     for token in (1, 2):
         long = {r["a"] for r in found if r["kind"] == 2 and r["token"] == token}
         assert all((i, j) in pairs or {i, j} <= long for j in range(60) for i in range(j))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div><div>Home</div><div class=post><div class=sec><p>{SENTENCE * 3}</div><div class=sec><p>{SENTENCE * 2}</div></div><div>Imprint</div></div>", f"{(SENTENCE * 3).strip()}\n{(SENTENCE * 2).strip()}"),
+        (f"<div>Home</div><div class=post><p>{SENTENCE}</p><ul>{f'<li>{SENTENCE}' * 8}</ul><p>{SENTENCE}</p></div>", "\n".join([SENTENCE.strip()] * 10)),
+        (f"<div>Home</div><div class=post><p>{SENTENCE}</p><table>{f'<tr><td>{SENTENCE}' * 8}</table><p>{SENTENCE}</p></div>", "\n".join([SENTENCE.strip()] * 10)),
+    ],
+)
+def test_content_in_several_parts_is_whole(page, text):
+    assert htmltext.main_text(page) == text
