@@ -38,15 +38,20 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("html body li dt dd td th tr tbody thead tfoot caption figcaption summary".split())
 #: What a class, id or role says of a part that isn't the article. In the article's own header, headings are kept.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|rail|aside|widget|related|recommend(?:ed|ations)?|"
-    r"notice|notices|cookie|cookies|consent|gdpr|banner|alert|popup|modal|newsletter|subscribe|subscription|signup|paywall|"
-    r"ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|"
-    r"form|search|login|comment|comments|commentlist|respond|replies|reply|disqus|discussion|"
-    r"share|sharing|social|toolbar|pagination|pager|copyright|legal|disclaimer|skip-link|"
-    r"navigation|contentinfo|complementary|hidden)(?:$|[\s_-]|\d)",
-    re.I,
+NAMED = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar rail aside widget related recommend recommended recommendations "
+    "notice notices cookie cookies consent gdpr banner alert popup modal newsletter subscribe subscription signup paywall "
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
+    "form search login comment comments commentlist respond replies reply disqus discussion "
+    "share sharing social toolbar pagination pager copyright legal disclaimer skiplink contentinfo complementary hidden".split()
 )
+#: Words that may stand beside those in one class; any other word (with-sidebar, ad-free, search-result) makes it a class of its own.
+BESIDE = frozenset(
+    "site page global top bottom left right main primary secondary list box block bar container wrapper wrap area section slot unit item items links icons buttons "
+    "post posts article articles entry".split()
+)
+#: With these an article's own header is meant.
+OWN = frozenset("post posts article articles entry section".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PUNCTUATION = re.compile(r"[.,;:!?…،؛؟。、！？]")
 TOKEN = re.compile(
@@ -59,32 +64,44 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An open element."""
 
-    __slots__ = ("tag", "key", "parent", "dropped", "named", "index")
+    __slots__ = ("tag", "key", "parent", "why", "dropped", "index")
 
-    def __init__(self, tag: str, key: str, parent: "Node | None", dropped: bool, index: int):
-        self.tag, self.key, self.parent, self.dropped, self.index = tag, key, parent, dropped, index
+    def __init__(self, tag: str, key: str, parent: "Node | None", why: str, index: int):
+        self.tag, self.key, self.parent, self.why, self.index = tag, key, parent, why, index
+        self.dropped = bool(why or parent and parent.dropped)
 
 
 def attributes(text: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v[1:-1] if v[:1] in "\"'" else v) for k, v in ATTRIBUTE.findall(text)}
 
 
-def unwanted(tag: str, found: dict[str, str], inside_article: bool) -> bool:
+def is_named(token: str) -> bool:
+    """Whether a class, id or role names something else than the article, as a whole."""
+    token = token.lower().replace("side-bar", "sidebar").replace("skip-link", "skiplink")
+    parts = [x for x in (x.rstrip("0123456789") for x in re.split(r"[-_]+", token)) if x]
+    names = NAMED.intersection(parts)
+    if not names or not all(x in NAMED or x in BESIDE for x in parts):
+        return False
+    return not (names <= {"header", "banner"} and OWN.intersection(parts))
+
+
+def unwanted(tag: str, found: dict[str, str], inside_article: bool) -> str:
+    """"tag" or "name" by what says that an element isn't part of the article, or ""."""
     if tag in DROPPED:
-        return not (tag == "header" and inside_article)
+        return "" if tag == "header" and inside_article else "tag"
     if tag in ("html", "body", "main", "article"):
-        return False
+        return ""
     if "hidden" in found or found.get("aria-hidden") == "true":
-        return True
+        return "tag"
     said = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    if not said.strip():
-        return False
-    return bool(NAMED.search(said)) and not (tag in HEADINGS and not re.search(r"comment|related|share|ad", said, re.I))
+    if not any(map(is_named, said.split())):
+        return ""
+    return "" if tag in HEADINGS and not re.search(r"comment|related|share|ad", said, re.I) else "name"
 
 
 def blocks(page: str) -> list[tuple[str, Node, bool]]:
     """The page's text nodes joined to blocks: text, element, and whether it is part of what is dropped."""
-    root = Node("", "", None, False, 0)
+    root = Node("", "", None, "", 0)
     top, made = root, 0
     out: list[tuple[str, Node, bool]] = []
     held: list[str] = []
@@ -167,7 +184,7 @@ def blocks(page: str) -> list[tuple[str, Node, bool]]:
         inside = opened({"article", "main"}, frozenset()) is not None
         made += 1
         name = tag + "".join("." + c for c in sorted(found.get("class", "").split()))
-        node = Node(tag, f"{top.key}/{name}", top, top.dropped or unwanted(tag, found, inside), made)
+        node = Node(tag, f"{top.key}/{name}", top, unwanted(tag, found, inside), made)
         if match["attrs"].endswith("/") and tag in ("svg", "path", "use", "g"):
             continue
         top = node
@@ -205,11 +222,38 @@ def path_scores(nodes: list[tuple[str, Node, bool]]) -> dict[str, float]:
 #: The threshold as a share of the scores' standard deviation, and the share of the content (length by punctuation) that the article must hold.
 SPREAD = 0.5
 HOLDS = 0.9
+#: The share of the page's text that keeps an element from being dropped by its name.
+MOST = 0.75
+
+
+def up_from(node: Node | None) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def kept(found: list[tuple[str, Node, bool]]) -> list[tuple[str, Node, bool]]:
+    """The blocks that aren't dropped. A name drops no element that holds the longest article or MOST of the page's text."""
+    if not any(node.dropped and any(x.why == "name" for x in up_from(node)) for _, node, _ in found):
+        return [x for x in found if not x[2]]
+    chains = [list(up_from(node)) for _, node, _ in found]
+    sizes: dict[int, int] = {}
+    whole = 0
+    for (text, _, _), chain in zip(found, chains):
+        if all(x.why != "tag" for x in chain):
+            whole += len(text)
+            for x in chain:
+                sizes[x.index] = sizes.get(x.index, 0) + len(text)
+    articles = [x for chain in chains for x in chain if x.tag in ("article", "main") and x.index in sizes]
+    spared = {i for i, size in sizes.items() if size >= MOST * whole}
+    if articles:
+        spared.update(x.index for x in up_from(max(articles, key=lambda x: sizes[x.index])))
+    return [x for x, chain in zip(found, chains) if not any(y.why == "tag" or y.why and y.index not in spared for y in chain)]
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by a line feed."""
-    nodes = [x for x in blocks(page or "") if not x[2]]
+    nodes = kept(blocks(page or ""))
     if not nodes:
         return ""
     scores = path_scores(nodes)

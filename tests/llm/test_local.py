@@ -192,3 +192,24 @@ def test_repeated_rows_of_a_long_list(batch):
 )
 def test_content_in_several_parts_is_whole(page, text):
     assert htmltext.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='layout with-sidebar'><article><p>{SENTENCE}</article></div>", SENTENCE),
+        (f"<div id=no-sidebar><p>{SENTENCE}</div>", SENTENCE),
+        (f"<div class=ad-free><p>{SENTENCE}</div>", SENTENCE),
+        (f"<article><div class=article-header><h1>T</h1><p>By A.</div><p>{SENTENCE}</article>", f"T\nBy A.\n{SENTENCE}"),
+        (f"<div class=search-result><p>{SENTENCE}</div>", SENTENCE),
+        (f"<div class=modal><div class=menu>Home</div><article><p>{SENTENCE}</article></div>", SENTENCE),
+        (f"<div class=widget><div class=ads>Buy</div><p>{SENTENCE}</div>", SENTENCE),
+    ],
+)
+def test_names_drop_no_article(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def test_names_of_several_words_drop():
+    for name in ("cookie-banner", "site-footer", "page-header", "comment-list", "related-posts", "ad-slot-1", "widget_area", "nav2", "Side-Bar"):
+        assert htmltext.main_text(f"<div><div class='{name}'>Other, than that.</div><div class=post><p>{SENTENCE}<p>{SENTENCE}</div></div>") == f"{SENTENCE}\n{SENTENCE}", name
