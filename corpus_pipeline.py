@@ -40,9 +40,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its first word: sources below their target repeat, sources above it lose documents."""
-    plan = mixing.mix(docs).where("starts > 0").select("doc_id", F.col("starts").alias("__times"))
-    plan = plan.groupBy("doc_id").agg(F.max("__times").alias("__times"))
-    rows = docs.join(plan, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    # Rows find their plan by id, source and text, so rows without an id have theirs.
+    key = F.xxhash64(mixing.source_key(), "text")
+    plan = mixing.mix(docs, __key=key).where("starts > 0").groupBy(F.col("doc_id").alias("__id"), "__key").agg(F.max("starts").alias("__times"))
+    rows = docs.withColumn("__own", key)
+    rows = rows.join(plan, rows["doc_id"].eqNullSafe(plan["__id"]) & (rows["__own"] == plan["__key"]))
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
     return rows.select(*docs.columns)
 
 

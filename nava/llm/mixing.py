@@ -106,10 +106,10 @@ def ranked_schedule(plan: DataFrame, chunk: int = 65536) -> DataFrame:
     return plan.withColumn("within", within).join(before, ["key", "chunk"]).select("slot", "source", (F.col("before") + F.col("within")).alias("rank"))
 
 
-def mix(docs: DataFrame, seed: int = 17, block: int | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and starts: how often the mix takes the document's first word."""
+def mix(docs: DataFrame, seed: int = 17, block: int | None = None, **carried: Column) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and starts: how often the mix takes the document's first word; then carried columns."""
     sizes = stored(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("h"))
+        docs.select("doc_id", "source", *[c.alias(name) for name, c in carried.items()], word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("h"))
         .withColumn("part", F.shiftright("h", 42)),
         "mix-sizes",
     )
@@ -154,5 +154,6 @@ def mix(docs: DataFrame, seed: int = 17, block: int | None = None) -> DataFrame:
             F.col("target").cast("double").alias("target"),
             (full + F.when(F.col("size") > 0, extra).otherwise(0)).cast("long").alias("taken"),
             (F.col("times") + F.when((F.col("size") > 0) & (F.col("start") < F.col("more") * block), 1).otherwise(0)).cast("long").alias("starts"),
+            *carried,
         )
     )

@@ -57,3 +57,11 @@ def test_nulls_pass(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (None, "a b", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.one_of_each_group(spark, docs, "").count() == 2
     assert corpus_pipeline.encoded(spark, docs, "").select(F.sum("n_tokens")).first()[0] == 2
+
+
+def test_mixing_stage_keeps_rows_without_id(spark):
+    rows = [(None if i % 3 == 0 else i // 6, f"t{i} " * (20 + i), "en", [None, "a"][i % 2], i) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mixed(spark, docs, "").collect())
+    plan = mixing.mix(docs, body=F.col("text")).where("starts > 0").collect()
+    assert got == {(r["doc_id"], r["body"]): r["starts"] for r in plan} and any(i is None for i, _ in got)
