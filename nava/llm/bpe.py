@@ -4,7 +4,9 @@ The last token of a prefix's encoding determines the rest: the encoding of a tex
 neighbours encode to themselves. So distinct words go into a trie, and a walk in depth-first order finds each prefix's last token
 from those of shorter prefixes on the path: the token t that ends the prefix, where what remains has a last token that may stand
 before t. A shared prefix is computed once. A word's own last symbol is another symbol (it bears the word end), so words end in
-leaves, and their tokens are read back along the path.
+leaves, and their tokens are read back along the path. The trie's nodes are never objects: words in order, each with the length of the prefix
+that it shares with the one before, are the walk itself, and a branch is two lists of numbers, linear in the length of a word.
+Decoding looks up the ids that encoding gave.
 
 Whole texts: special tokens are cut out of the raw text first, then NFC and lower case, then the pattern's words. Encodings of
 words are kept in a bounded table for each worker; the table is emptied when it is full, which changes speed only.
@@ -27,8 +29,9 @@ from pyspark.sql import DataFrame
 
 from nava.session import ship
 
-#: Encodings and pair answers that a worker keeps.
-KEPT_WORDS = 150_000
+#: Encodings (words, and their characters) and pair answers that a worker keeps.
+KEPT_WORDS = 300_000
+KEPT_CHARS = 8_000_000
 KEPT_PAIRS = 400_000
 END = "</w>"
 
@@ -88,8 +91,9 @@ class Vocabulary:
         self.to_symbols = {b: symbols[b] for b in range(256)}
         self.from_symbols = {ord(s): b for b, s in enumerate(symbols)}
         self.pairs: dict[int, bool] = {}
-        self.encoded: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
+        self.encoded: dict[str, str] = {}  # ids of a word, joined by spaces
+        self.held = 0  # characters of the words in it
+        self.named = {str(i): t for i, t in self.text.items()}
 
     def may_follow(self, first: int, second: int) -> bool:
         """Whether encoding the two tokens' joined text gives just these two.
@@ -127,30 +131,27 @@ class Vocabulary:
                 until_right, right = made_right, halves[right][0]
 
     def learn(self, words: set[str]) -> None:
-        """Encode distinct words through a trie and keep their ids and token texts."""
-        table = self.to_symbols
-        trie: dict = {}
-        for word in words:
-            symbols = word if word.isascii() and word.isprintable() else "".join([table[b] for b in word.encode("utf-8", "surrogatepass")])
-            node = trie
-            for symbol in symbols[:-1]:
-                following = node.get(symbol)
-                if following is None:
-                    following = node[symbol] = {}
-                node = following
-            node.setdefault("", []).append((symbols, word))
-        ids, longest, pairs = self.ids, self.longest, self.pairs
-        path: list[int] = []  # last token of each prefix on the path
+        """Encode distinct words and keep their ids.
+
+        Words in order with the length of the prefix that each shares with the one before are their trie in depth-first order: path and
+        lengths hold the states of the current branch, of which the shared part stays.
+        """
+        table, ids, longest, pairs, may_follow = self.to_symbols, self.ids, self.longest, self.pairs, self.may_follow
+        spelled = [(w if w.isascii() and w.isprintable() else "".join([table[b] for b in w.encode("utf-8", "surrogatepass")]), w) for w in words]
+        spelled.sort()
+        path: list[int] = []  # last token of each prefix on the branch
         lengths: list[int] = []  # and its length
-        text = ""
-        stack: list[tuple[int, str, dict]] = [(0, "", trie)]
-        while stack:
-            depth, symbol, node = stack.pop()
-            if depth:
-                del path[depth - 1 :], lengths[depth - 1 :]
-                text = text[: depth - 1] + symbol
+        before = ""
+        for symbols, word in spelled:
+            n = len(symbols)
+            shared, upto = 0, min(n - 1, len(path))
+            while shared < upto and symbols[shared] == before[shared]:
+                shared += 1
+            del path[shared:], lengths[shared:]
+            before = symbols
+            for depth in range(shared + 1, n):
                 for size in range(1, min(depth, longest) + 1):
-                    token = ids.get(text[depth - size :])
+                    token = ids.get(symbols[depth - size : depth])
                     if token is None:
                         continue
                     if size == depth:
@@ -158,30 +159,31 @@ class Vocabulary:
                     last = path[depth - size - 1]
                     fits = pairs.get(last << 20 | token)
                     if fits is None:
-                        fits = self.may_follow(last, token)
+                        fits = may_follow(last, token)
                     if fits:
                         break
                 path.append(token)
                 lengths.append(size)
-            for following, child in node.items():
-                if following:
-                    stack.append((depth + 1, following, child))
-            for symbols, word in node.get("", ()):
-                closed = symbols + END
-                n = len(symbols)
-                for size in range(1, min(n, longest) + 1):
-                    token = ids.get(closed[n - size :])
-                    if token is None:
-                        continue
-                    if size == n or self.may_follow(path[n - size - 1], token):
-                        break
-                tokens, at = [token], n - size
-                while at:
-                    tokens.append(path[at - 1])
-                    at -= lengths[at - 1]
-                tokens.reverse()
-                self.encoded[word] = " ".join(map(str, tokens))
-                self.decoded[word] = " ".join([self.text[t] for t in tokens])
+            # A word's last symbol bears the word end, so words end in leaves.
+            for size in range(1, min(n, longest) + 1):
+                token = ids.get(symbols[n - size :] + END)
+                if token is None:
+                    continue
+                if size == n:
+                    break
+                last = path[n - size - 1]
+                fits = pairs.get(last << 20 | token)
+                if fits is None:
+                    fits = may_follow(last, token)
+                if fits:
+                    break
+            tokens, at = [token], n - size
+            while at:
+                tokens.append(path[at - 1])
+                at -= lengths[at - 1]
+            tokens.reverse()
+            self.encoded[word] = " ".join(map(str, tokens))
+            self.held += n
 
     def words(self, text: str | None) -> list[str]:
         """The pattern's words of a whole text; special tokens stand as they are."""
@@ -217,11 +219,11 @@ class Vocabulary:
 
     def prepare(self, texts: list[list[str]]) -> None:
         """Learn what the texts hold and the table lacks."""
-        if len(self.encoded) > KEPT_WORDS:
+        if len(self.encoded) > KEPT_WORDS or self.held > KEPT_CHARS:
             self.encoded.clear()
-            self.decoded.clear()
+            self.held = 0
         for special, i in self.special.items():
-            self.encoded[special], self.decoded[special] = str(i), special
+            self.encoded[special] = str(i)
         new: set[str] = set()
         for words in texts:
             new.update(words)
@@ -235,7 +237,11 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' texts, joined by a space: the file names no decoder."""
-        return " ".join([self.text[i] for i in ids])
+        return self.decode_joined(" ".join(map(str, ids)))
+
+    def decode_joined(self, ids: str) -> str:
+        """The same from decimal ids joined by a space."""
+        return " ".join(map(self.named.__getitem__, ids.split(" "))) if ids else ""
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -259,13 +265,13 @@ def digests(path: str):
 
         def flush(keys: list, texts: list[list[str]]) -> pa.RecordBatch:
             known.prepare(texts)
-            encoded, decoded = known.encoded, known.decoded
+            encoded = known.encoded
             counts, ids_sha, decoded_sha = [], [], []
             for words in texts:
                 ids = " ".join([encoded[w] for w in words])
                 counts.append(ids.count(" ") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(" ".join([decoded[w] for w in words]).encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(known.decode_joined(ids).encode()).hexdigest())
             return pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -1,6 +1,7 @@
 """Parts without Spark, held against libraries and plain versions."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -33,6 +34,23 @@ def test_bpe_of_long_words(text):
     assert OWN.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_is_linear_in_a_words_length():
+    """A word of a megabyte, and two that share nearly all of it."""
+    word = "".join(random.Random(6).choices("abcdefgh", k=1_000_000))
+    began = time.process_time()
+    ids = OWN.encode(f"{word} {word[:-1]}z")
+    assert time.process_time() - began < 30
+    assert OWN.decode(ids).replace("</w>", "").replace(" ", "") == word + word[:-1] + "z"
+    short = word[:20_000]
+    assert OWN.encode(short) == LIBRARY.encode(short, add_special_tokens=False).ids
+
+
+def test_bpe_decodes_the_ids_it_is_given():
+    ids = LIBRARY.encode("some words <|endoftext|> decoded", add_special_tokens=False).ids
+    for own in (ids, ids[::-1], ids[:1], []):
+        assert OWN.decode_joined(" ".join(map(str, own))) == OWN.decode(own) == LIBRARY.decode(own, skip_special_tokens=False)
+
+
 def test_bpe_table_may_be_emptied():
     own = bpe.Vocabulary(FILE)
     before, bpe.KEPT_WORDS, bpe.KEPT_PAIRS = (bpe.KEPT_WORDS, bpe.KEPT_PAIRS), 3, 3
