@@ -17,8 +17,9 @@ Pairs are verified on whole texts, those with an upper bound below the threshold
 bucket, and the sum of the smaller counts bounds the overlap.
 
 Nulls, ties and edges: a null or empty text, or one without words, has an empty set, links with nothing and is its own component;
-rows that repeat a text are in its class; a repeated doc_id takes part with each of its rows; an empty table gives an empty result;
-other columns are ignored. Classes are told apart by 64-bit digests of their sets.
+rows that repeat a text are in its class; a repeated doc_id takes part with each of its rows; rows without an id take part too, and
+a component of only such rows has none; an empty table gives an empty result; other columns are ignored. Shingles and classes are told apart
+by 64-bit digests, those of words cryptographic.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nava.llm.components import components
+from nava.llm.components import components, lookup
 from nava.llm.textfeed import mixed, shingles, words_of
 from nava.session import ship, stored
 
@@ -371,10 +372,10 @@ def may_link(left: bytes, right: bytes, o: int) -> bool:
 def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches allow a link."""
     for batch in batches:
-        a, b, n, m, left, right = batch.columns
+        *pair, n, m, left, right = batch.columns
         o = needed_of(n.to_numpy(), m.to_numpy()).tolist()
         keep = pa.array([may_link(x.as_py(), y.as_py(), z) for x, y, z in zip(left, right, o)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in pair], names=["a", "b", "ca", "cb"])
 
 
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,18 +386,18 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose whole texts link; neighbouring rows share their first text."""
+    """Components of the pairs whose whole texts link; neighbouring rows share their first text."""
     last: tuple[int, np.ndarray] | None = None
     for batch in batches:
         keep = []
-        for a, left, right in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+        for a, left, right in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4)):
             if last is None or last[0] != a:
                 last = a, shingle_set(left.as_py())
             own = shingle_set(right.as_py())
             o = len(np.intersect1d(last[1], own, assume_unique=True))
             keep.append(DOWN * o >= UP * (len(last[1]) + len(own) - o))
         mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(1).filter(mask), batch.column(2).filter(mask)], names=["a", "b"])
 
 
 class Join:
@@ -405,105 +406,129 @@ class Join:
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
         ship(self.spark)
-        self.docs = docs.select("doc_id", "text")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         schema = "doc_id long, n long, k long, token long, times long, sketch binary"
         described = stored(self.docs.mapInArrow(describe, schema), "jaccard-described")
         self.described = described.where("token is null").select("doc_id", "n", "k")
         drawn = described.where("token is null and n > 0").groupBy("k").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.count("*").alias("rows")
         )
         self.classes = stored(drawn, "jaccard-classes")
-        self.repeated = not self.described.groupBy("doc_id").count().where("count > 1").isEmpty()
+        self.repeated = not self.described.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
         repeats = described.where("token is not null").groupBy("token").agg(F.sum("times").alias("times"))
         # At most HOT_KEPT rows reach the driver.
         hot = repeats.where(F.col("times") >= HOT).orderBy(F.desc("times"), "token").limit(HOT_KEPT).toPandas()
         tokens = hot["token"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(tokens)
         tokens, times = tokens[order], hot["times"].to_numpy(np.int64)[order]
-        facts = described.agg(F.sum("n").alias("n"), F.sum("times").alias("times")).first()
+        facts = described.agg(
+            F.sum("n").alias("n"), F.sum("times").alias("times"), F.count_if(F.expr("token is null and n > 0")).alias("rows"), F.count_if(F.expr("n > 0 and doc_id is null")).alias("nameless")
+        ).first()
+        self.rows, self.nameless = facts["rows"], facts["nameless"]
         self.small = boundary((facts["times"] or 0) / max(1, facts["n"] or 0))
         rows = self.docs.mapInArrow(lister(tokens, times, self.small), "token long, k long, n int, pos int, prev int")
         lists = rows.repartition("token").sortWithinPartitions("token", "n", "k")
         self.found = stored(lists.mapInArrow(scan, "kind int, token long, a long, b long, n int, pos int, prev int"), "jaccard-found")
-        self.links = [stored(self.found.where("kind = 1").select("a", "b").distinct(), "jaccard-links")]
+        #: Component of each class that a link was found of, by the steps so far.
+        self.labels: DataFrame | None = None
 
     def texts_of(self, keys: DataFrame) -> DataFrame:
         """k, text of one document of each class."""
         reps = stored(self.classes.select("k", "doc_id").join(keys, "k", "left_semi"), "jaccard-reps")
         chosen = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
         texts = self.docs.join(chosen, "doc_id").select("k", "text")
+        by_key = "k long, own long, text string"
         if self.repeated:
             # A repeated doc_id may bring the texts of other classes.
-            texts = texts.mapInArrow(keyed, "k long, own long, text string").where("k = own").select("k", "text").dropDuplicates(["k"])
+            texts = texts.mapInArrow(keyed, by_key).where("k = own").select("k", "text").dropDuplicates(["k"])
+        if self.nameless:
+            # Classes of which no row has an id are found by their key.
+            own = self.docs.where("doc_id is null").select(F.lit(0).cast("long").alias("k"), "text").mapInArrow(keyed, by_key)
+            wanted = reps.where("doc_id is null").select("k")
+            texts = texts.unionByName(own.select(F.col("own").alias("k"), "text").join(wanted, "k", "left_semi").dropDuplicates(["k"]))
         return texts
 
-    def label(self) -> DataFrame:
-        links = self.links[0]
-        for more in self.links[1:]:
-            links = links.unionByName(more)
-        return stored(components(links), "jaccard-components")
-
-    def between(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs whose sides aren't in one component yet."""
-        left = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        right = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    def named(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with the components ca, cb of their sides; those within one component are dropped."""
+        if self.labels is None:
+            return pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+        left = self.labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        right = self.labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         joined = pairs.join(left, "a", "left").join(right, "b", "left")
-        return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        return joined.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Adds the pairs that link."""
+    def merge(self, links: DataFrame) -> None:
+        """Adds links between components: only these are contracted, and the labels so far follow their component."""
+        more = components(links)
+        if self.labels is None:
+            self.labels = stored(more, "jaccard-labels")
+            return
+        more = stored(more, "jaccard-merged")
+        if more.isEmpty():
+            return
+        moved = more.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        if more.count() <= BROADCAST_IDS:
+            moved = F.broadcast(moved)
+        known = self.labels.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+        self.labels = stored(known.unionByName(more.join(self.labels, "node", "left_anti")), "jaccard-labels")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The components a, b of the pairs (a, b, ca, cb) that link."""
         s = self.classes.select(F.col("k").alias("a"), "n", F.col("sketch").alias("left"))
         t = self.classes.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("right"))
-        likely = pairs.join(s, "a").join(t, "b").select("a", "b", "n", "m", "left", "right")
-        likely = stored(likely.mapInArrow(bounded, "a long, b long"), "jaccard-likely")
+        likely = pairs.join(s, "a").join(t, "b").select("a", "b", "ca", "cb", "n", "m", "left", "right")
+        likely = stored(likely.mapInArrow(bounded, "a long, b long, ca long, cb long"), "jaccard-likely")
         keys = likely.select(F.explode(F.array("a", "b")).alias("k")).distinct()
         texts = stored(self.texts_of(keys), "jaccard-texts")
         left = texts.select(F.col("k").alias("a"), F.col("text").alias("left"))
         right = texts.select(F.col("k").alias("b"), F.col("text").alias("right"))
-        both = likely.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-        self.links.append(stored(both.mapInArrow(verified, "a long, b long"), "jaccard-links"))
+        both = likely.join(right, "b").join(left, "a").select("a", "ca", "cb", "left", "right")
+        return stored(both.mapInArrow(verified, "a long, b long"), "jaccard-links")
 
     def run(self) -> DataFrame:
         pairs = self.found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("times"))
         pairs = stored(pairs, "jaccard-pairs")
-        long = self.found.where("kind = 2")
         # The likeliest partner of each class first: copies merge, and most other pairs then lie within a component.
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-        self.verify(best)
-        labels = self.label()
-        self.verify(self.between(pairs.select("a", "b"), labels).join(best, ["a", "b"], "left_anti"))
+        subsets = self.found.where("kind = 1").select("a", "b").distinct()
+        self.merge(self.verify(self.named(best)).unionByName(subsets))
+        self.merge(self.verify(self.named(pairs.select("a", "b")).join(best, ["a", "b"], "left_anti")))
+        long = self.found.where("kind = 2")
         if not long.isEmpty():
-            labels = self.label()
-            self.verify(self.long_pairs(long, labels, pairs))
-        return self.label()
+            self.merge(self.verify(self.long_pairs(long, pairs)))
+        return self.labels
 
-    def long_pairs(self, long: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    def long_pairs(self, long: DataFrame, pairs: DataFrame) -> DataFrame:
         """Candidates between components of the long lists, each list in block pairs of at most 2 * BLOCK rows."""
         rows = long.select("token", F.col("a").alias("k"), "n", "pos", "prev").distinct()
-        names = labels.select(F.col("node").alias("k"), "component")
+        names = self.labels.select(F.col("node").alias("k"), "component")
         rows = stored(rows.join(names, "k", "left").withColumn("component", F.coalesce("component", "k")), "jaccard-long")
-        open_lists = rows.groupBy("token").agg(
-            F.count("*").alias("rows"), F.min("component").alias("least"), F.max("component").alias("most")
-        ).where("least <> most").select("token", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-        rows = rows.join(open_lists, "token").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+        facts = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("component").alias("least"), F.max("component").alias("most"))
+        facts = facts.where("least <> most").select("token", "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+        # A list of much of the rows meets its number of blocks where it lies.
+        rows = lookup(rows, stored(facts, "jaccard-open"), "token", "rows", rows.count())
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select(
             "token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "k", "n", "pos", "prev", "component"
         )
         rows = rows.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
         found = rows.mapInArrow(across, "a long, b long").distinct()
-        return stored(found.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-across")
+        return stored(self.named(found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")), "jaccard-across")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
     work = Join(docs)
     labels = work.run().select(F.col("node").alias("k"), "component")
-    sets = work.described.where("n > 0").join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    # By class first, so copies are one row; then the rows of a component, and of a class, look up what holds for all of it.
+    sets = work.classes.select("k", "doc_id", "rows").join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
     sets = stored(sets, "jaccard-labelled")
-    least = sets.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = stored(sets.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")), "jaccard-least")
+    named = stored(lookup(sets.drop("doc_id"), least, "component", "classes", sets.count()).select("k", "rows", "component_id"), "jaccard-named")
+    rows = work.described.where("n > 0")
     return (
-        sets.join(least, "component")
+        lookup(rows, named, "k", "rows", work.rows)
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         .unionByName(work.described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     )

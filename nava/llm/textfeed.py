@@ -2,37 +2,31 @@
 
 from __future__ import annotations
 
-import numpy as np
+from hashlib import blake2b
 
-#: An odd multiplier makes powers invertible modulo 2**64, so a hash of any span is a difference of running sums times a power.
-BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+import numpy as np
 
+#: Words whose digests a worker keeps; a full table is emptied, which changes speed only.
+KEPT = 400_000
 
-class Powers:
-    """Powers of BASE and of its inverse modulo 2**64, extended when needed."""
 
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
+class Digests(dict):
+    """64-bit digests of words, by a cryptographic hash: no choice of texts makes two of them equal on purpose cheaply."""
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(16, (n - 1).bit_length())
-            inverse = pow(BASE, -1, 1 << 64)
-            steps = np.full(size, BASE, np.uint64)
-            steps[0] = 1
-            self.up = np.multiply.accumulate(steps)
-            steps[1:] = np.uint64(inverse)
-            self.down = np.multiply.accumulate(steps)
-        return self.up, self.down
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) < 100:
+            self[word] = found
+        return found
 
 
-_powers = Powers()
+_digests = Digests()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """Spreads the bits of 64-bit hashes."""
+    """Spreads the bits of 64-bit hashes; one to one."""
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
     h = h ^ (h >> np.uint64(32))
@@ -45,24 +39,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-#: Words hashed at once; each further piece starts again with the last words of the one before.
-PIECE = 200_000
-
-
 def shingles(words: list[bytes], n: int) -> np.ndarray:
-    """A 64-bit hash for each run of n words, in order; with fewer words, one of the whole sequence; none without words."""
+    """A 64-bit hash for each run of n words, in order; with fewer words, one of the whole sequence; none without words.
+
+    Words' digests enter one after the other, mixed in between, so the order counts and no sum of digests can be balanced by another.
+    """
     if not words:
         return np.zeros(0, np.uint64)
+    own = np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words))
     n = min(n, len(words))
-    if len(words) > PIECE + n:
-        parts = [shingles(words[i : i + PIECE + n - 1], n) for i in range(0, len(words) - n + 1, PIECE)]
-        return np.concatenate(parts)
-    joined = np.frombuffer(b" ".join(words), np.uint8)
-    breaks = np.flatnonzero(joined == 32)
-    starts = np.concatenate([[0], breaks + 1])
-    ends = np.concatenate([breaks, [len(joined)]])
-    up, down = _powers.upto(len(joined) + 1)
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=sums[1:])
-    first, last = starts[: len(starts) - n + 1], ends[n - 1 :]
-    return mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    count = len(words) - n + 1
+    h = mixed(own[:count] + np.uint64(n))
+    for k in range(1, n):
+        h = mixed(h ^ own[k : k + count])
+    return h

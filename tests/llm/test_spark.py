@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nava.llm import bpe, gif, htmltext, jaccard, licenses, lmscore, mixing, quality, tokencount, topk
+from nava.llm import bpe, components, gif, htmltext, jaccard, licenses, lmscore, mixing, quality, tokencount, topk
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choices("etaoins", k=RNG.randrange(1, 6))) for _ in range(300)]
@@ -230,6 +230,58 @@ def test_jaccard(spark, empty, batch):
     assert jaccard.join(empty).count() == 0
 
 
+@pytest.mark.parametrize("batch", [10_000, 1_000, 53])
+def test_jaccard_of_copies_in_many_tasks(spark, batch):
+    """Copies of a short text in more partitions than a long list has rows, and near copies that link with them."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(30):
+        words = [f"g{g}w{i}" for i in range(14)]
+        rows += [" ".join(words)] * 72 + [" ".join([*words[:-1], f"x{g}"]), " ".join([f"y{g}", *words[1:]])]
+    rows += [" ".join(rng.choices(WORDS, k=14)) for _ in range(200)]
+    rows = list(enumerate(rows))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(72, "doc_id")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == brute_groups(rows)
+
+
+def test_jaccard_of_rows_without_id(spark):
+    """Rows without an id link too; a repeated id may hold different texts."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(None, a), (None, [*a, "z"]), (4, ["q", *a]), (None, b), (None, [*b, "z"]), (7, a[:20]), (7, b[:20]), (8, [*b[:20], "z"])]
+    out = jaccard.join(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str)
+    wanted = [(None, 56, 4), (None, 57, 4), (4, 57, 4), (None, 56, None), (None, 57, None), (7, 16, 7), (7, 16, 7), (8, 17, 7)]
+    assert got == sorted(wanted, key=str)
+
+
+@pytest.mark.parametrize("piece", [8, 500_000])
+def test_components(spark, piece, monkeypatch):
+    """A path, a hub, a cycle and random links, by rounds of stars and by one union-find; heavy nodes are looked up where they lie."""
+    monkeypatch.setattr(components, "HEAVY_ROWS", 20)
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 640)] + [(i, 640) for i in range(600, 620)]
+    links += [(700 + i, 700 + (i + 1) % 9) for i in range(9)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(5, 5)]
+    parent = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in links:
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    wanted = {x: find(x) for x, y in ((x, y) for pair in links if pair[0] != pair[1] for x, y in (pair, pair[::-1]))}
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    got = [(r["node"], r["component"]) for r in components.components(df, piece).collect()]
+    assert len(got) == len(wanted) and dict(got) == wanted
+    assert components.components(df.limit(0), piece).count() == 0
+
+
 def test_token_counts(docs, empty):
     import base64
 
