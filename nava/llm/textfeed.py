@@ -6,12 +6,16 @@ from hashlib import blake2b
 
 import numpy as np
 
-#: Words whose digests a worker keeps; a full table is emptied, which changes speed only.
-KEPT = 400_000
+#: Long words whose digests a worker keeps; a full table is emptied, which changes speed only.
+KEPT = 200_000
+#: Bytes of a short word, which is two numbers at most; masks of so many bytes; what tells lengths apart.
+SHORT = 16
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Digests(dict):
-    """64-bit digests of words, by a cryptographic hash: no choice of texts makes two of them equal on purpose cheaply."""
+    """64-bit digests of long words, by a cryptographic hash."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT:
@@ -39,6 +43,23 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word: of a short one, its bytes as numbers, mixed; of a longer one, its digest."""
+    joined = b" ".join(words) + bytes(SHORT)
+    size = len(joined) - SHORT
+    breaks = np.flatnonzero(np.frombuffer(joined, np.uint8, size) == 32)
+    starts = np.concatenate([[0], breaks + 1])
+    lengths = np.concatenate([breaks, [size]]) - starts
+    windows = np.ndarray((size + 1,), "<u8", joined, strides=(1,))
+    h = mixed((windows[starts] & _MASKS[np.minimum(lengths, 8)]) ^ (lengths.astype(np.uint64) * _LENGTH))
+    middle = np.flatnonzero(lengths > 8)
+    h[middle] = mixed(h[middle] ^ (windows[starts[middle] + 8] & _MASKS[np.minimum(lengths[middle] - 8, 8)]))
+    long = np.flatnonzero(lengths > SHORT)
+    if len(long):
+        h[long] = np.fromiter(map(_digests.__getitem__, [words[i] for i in long.tolist()]), np.uint64, len(long))
+    return h
+
+
 def shingles(words: list[bytes], n: int) -> np.ndarray:
     """A 64-bit hash for each run of n words, in order; with fewer words, one of the whole sequence; none without words.
 
@@ -46,7 +67,7 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
     """
     if not words:
         return np.zeros(0, np.uint64)
-    own = np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words))
+    own = word_digests(words)
     n = min(n, len(words))
     count = len(words) - n + 1
     h = mixed(own[:count] + np.uint64(n))
