@@ -30,7 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nava.llm.components import components, lookup
@@ -102,9 +102,9 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (doc_id, n, k, and a sketch the first time a piece has this set), and rows (token, times) for shingles
+    """A row for each document (doc_id, row, n, k, and a sketch the first time a piece has this set), and rows (token, times) for shingles
     that repeat within a piece of the input."""
-    names = ["doc_id", "n", "k", "token", "times", "sketch"]
+    names = ["doc_id", "row", "n", "k", "token", "times", "sketch"]
     seen: set[int] = set()
     held: list[np.ndarray] = []
     size = 0
@@ -118,7 +118,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = signed(values[counts > 1]), counts[counts > 1]
         none = pa.nulls(len(values), pa.int64())
         drawn = pa.nulls(len(values), pa.binary())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(values), pa.array(counts.astype(np.int64)), drawn], names=names)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values), pa.array(counts.astype(np.int64)), drawn], names=names)
 
     for batch in batches:
         ids, sizes, keys, drawn = batch.column(0), [], [], []
@@ -136,7 +136,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size >= PIECE:
                     yield repeats()
         none = pa.nulls(len(sizes), pa.int64())
-        columns = [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none, none, pa.array(drawn, pa.binary())]
+        columns = [ids.cast(pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none, none, pa.array(drawn, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=names)
     if held:
         yield repeats()
@@ -403,13 +403,15 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Join:
     """The steps of one join; each leaves a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, key: Column | None = None):
         self.spark = docs.sparkSession
         ship(self.spark)
+        row = F.lit(None) if key is None else key
+        described = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.cast("long").alias("row"))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        schema = "doc_id long, n long, k long, token long, times long, sketch binary"
-        described = stored(self.docs.mapInArrow(describe, schema), "jaccard-described")
-        self.described = described.where("token is null").select("doc_id", "n", "k")
+        schema = "doc_id long, row long, n long, k long, token long, times long, sketch binary"
+        described = stored(described.mapInArrow(describe, schema), "jaccard-described")
+        self.described = described.where("token is null").select("doc_id", "row", "n", "k")
         drawn = described.where("token is null and n > 0").groupBy("k").agg(
             F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.count("*").alias("rows")
         )
@@ -417,10 +419,10 @@ class Join:
         self.repeated = not self.described.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
         repeats = described.where("token is not null").groupBy("token").agg(F.sum("times").alias("times"))
         # At most HOT_KEPT rows reach the driver.
-        hot = repeats.where(F.col("times") >= HOT).orderBy(F.desc("times"), "token").limit(HOT_KEPT).toPandas()
-        tokens = hot["token"].to_numpy(np.int64).view(np.uint64)
+        hot = repeats.where(F.col("times") >= HOT).orderBy(F.desc("times"), "token").limit(HOT_KEPT).toArrow()
+        tokens = hot["token"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(tokens)
-        tokens, times = tokens[order], hot["times"].to_numpy(np.int64)[order]
+        tokens, times = tokens[order], hot["times"].to_numpy().astype(np.int64)[order]
         facts = described.agg(
             F.sum("n").alias("n"), F.sum("times").alias("times"), F.count_if(F.expr("token is null and n > 0")).alias("rows"), F.count_if(F.expr("n > 0 and doc_id is null")).alias("nameless")
         ).first()
@@ -517,18 +519,28 @@ class Join:
         return stored(self.named(found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")), "jaccard-across")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
-    work = Join(docs)
+def classes(work: Join) -> DataFrame:
+    """k, rows, component (its smallest class), component_id of every class."""
     labels = work.run().select(F.col("node").alias("k"), "component")
-    # By class first, so copies are one row; then the rows of a component, and of a class, look up what holds for all of it.
     sets = work.classes.select("k", "doc_id", "rows").join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
     sets = stored(sets, "jaccard-labelled")
     least = stored(sets.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")), "jaccard-least")
-    named = stored(lookup(sets.drop("doc_id"), least, "component", "classes", sets.count()).select("k", "rows", "component_id"), "jaccard-named")
-    rows = work.described.where("n > 0")
-    return (
-        lookup(rows, named, "k", "rows", work.rows)
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        .unionByName(work.described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    )
+    named = lookup(sets.drop("doc_id"), least, "component", "classes", sets.count())
+    return stored(named.select("k", "rows", "component", "component_id"), "jaccard-named")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+    work = Join(docs)
+    # By class first, so copies are one row; then the rows of a class look up what holds for all of it.
+    found = lookup(work.described.where("n > 0"), classes(work).drop("component"), "k", "rows", work.rows)
+    alone = work.described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+
+
+def representatives(docs: DataFrame, key: Column) -> DataFrame:
+    """key of one row of each component that has words: its smallest doc_id, null last, then its smallest key."""
+    work = Join(docs, key)
+    found = lookup(work.described.where("n > 0"), classes(work).drop("component_id"), "k", "rows", work.rows)
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    return found.groupBy("component").agg(F.min(first).alias("first")).select(F.col("first.row").alias("key"))

@@ -4,16 +4,19 @@ A text's bytes are embedded; learned filters of WIDTH bytes run over them every
 over chunks of CHUNK bytes that overlap by half and cover the whole text; a small dense layer gives each chunk a logit; and the
 mean and the extremes of a text's chunk logits combine into one probability.
 
-Training reads at most TRAIN_DOCS labelled documents of each class (the first by a hash of the id), and of each one window of at most
-TRAIN_CHARS characters at a place that the hash picks. These bounds are parameters; scoring covers every byte of every text.
+Training reads the whole texts of at most TRAIN_DOCS labelled documents of each class (the first by a hash of the id). The filters learn
+from at most TRAIN_CHUNKS chunks, drawn by a hash from all chunks of all those texts; the combination learns from the chunk logits of the
+whole texts. Texts stay on the executors: chunks and three numbers a text reach the driver. These bounds are parameters; scoring covers every
+byte of every text.
 
 Nulls, ties and edges: a null text is an empty one, and both are scored as one chunk of padding; repeated rows score equally; a
-labelled id that repeats counts once, with its lowest label; without labels of both classes every score is 0.5; an empty table gives
-an empty result; other columns are ignored.
+labelled id that repeats counts once, with its lowest label and the first of its texts in order; without labels of both classes every score
+is 0.5; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nava.session import ship
+from nava.session import ship, stored
 
 EMBED, STEP, TAPS, FILTERS, HIDDEN = 4, 4, 4, 24, 16
 WIDTH = STEP * TAPS
 CHUNK = 512
 HALF = CHUNK // 2
 TRAIN_DOCS = 1500
-TRAIN_CHARS = 4096
 TRAIN_CHUNKS = 16_000
 EPOCHS = 8
 #: Bytes that one pass of the network takes.
@@ -72,6 +74,10 @@ class Network:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probabilities of whole texts."""
+        return 1 / (1 + np.exp(-self.features(texts) @ self.combine))
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """Mean, lowest and highest chunk logit of whole texts, and one."""
         # Padding ends each text, so the last filter places, which reach into the next text, hold nothing of this one.
         counts = [-(-(len(t) + WIDTH - STEP) // HALF) for t in texts]
         data = b"".join([t.ljust(n * HALF, b"\0") for t, n in zip(texts, counts)]) + bytes(WIDTH - STEP)
@@ -95,10 +101,9 @@ class Network:
         logits = np.clip(self.logits(paired[keep]), -8, 8)
         starts = np.concatenate([[0], np.cumsum([max(1, n - 1) for n in counts])[:-1]])
         sizes = np.diff(np.concatenate([starts, [len(logits)]]))
-        features = np.stack(
+        return np.stack(
             [np.add.reduceat(logits, starts) / sizes, np.minimum.reduceat(logits, starts), np.maximum.reduceat(logits, starts), np.ones(len(texts))], 1
         )
-        return 1 / (1 + np.exp(-features @ self.combine))
 
 
 def initial(seed: int = 7) -> Network:
@@ -173,73 +178,101 @@ def learn_chunks(net: Network, chunks: np.ndarray, labels: np.ndarray, epochs: i
                 getattr(net, k)[...] -= rate * (m / (1 - 0.9**at)) / (np.sqrt(v / (1 - 0.99**at)) + 1e-8)
 
 
-def learn_combination(net: Network, texts: list[bytes], labels: np.ndarray) -> None:
-    """Logistic regression of a text's label on the mean and the extremes of its chunk logits."""
-    features = []
-    for weights in np.eye(4)[:3]:
-        net.combine = weights * 0.5
-        p = np.clip(net.score(texts), 1e-9, 1 - 1e-9)
-        features.append(2 * np.log(p / (1 - p)))
-    x = np.stack([*features, np.ones(len(texts))], 1)
-    w = np.array([1.0, 0, 0, 0])
+def learn_combination(net: Network, x: np.ndarray, labels: np.ndarray) -> None:
+    """Logistic regression of a text's label on its features."""
+    first = np.array([1.0, 0, 0, 0])
+    w = first
     weight = class_weights(labels)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-x @ w))
-        gradient = x.T @ (weight * (p - labels)) + 0.5 * (w - np.array([1.0, 0, 0, 0]))
+        p = 1 / (1 + np.exp(np.clip(-x @ w, -60, 60)))
+        gradient = x.T @ (weight * (p - labels)) + 0.5 * (w - first)
         curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(4)
         w = w - np.linalg.solve(curve, gradient)
     net.combine = w
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Network | None:
-    """A network, or None without both classes."""
-    if len(set(labels.tolist())) < 2:
-        return None
-    size = CHUNK + WIDTH - STEP
-    chunks, marks = [], []
-    random = np.random.default_rng(5)
-    for text, label in zip(texts, labels):
-        # Whole short texts are rare in a sample and look poor in variety, so each text also gives two short pieces.
-        for length in random.integers(24, HALF, 2):
-            start = text.find(b" ", int(random.integers(0, max(1, len(text) - int(length))))) + 1
-            if len(text) > 2 * length and start:
-                chunks.append(text[start : start + int(length)].rpartition(b" ")[0].ljust(size, b"\0"))
-                marks.append(label)
-        for start in range(0, max(1, len(text) - HALF), HALF):
-            piece = text[start : start + size]
-            if len(piece) >= 32:
-                chunks.append(piece.ljust(size, b"\0"))
-                marks.append(label)
-    if len(set(marks)) < 2:
+SIZE = CHUNK + WIDTH - STEP
+
+
+def cut(key: int, text: bytes) -> tuple[list[bytes], np.ndarray]:
+    """All training chunks of a whole text, and for each a place in the order that all texts' chunks are drawn by."""
+    random = np.random.default_rng([5, key % 2**32, zlib.crc32(text)])
+    chunks = []
+    # Whole short texts are rare in a sample and look poor in variety, so each text also gives two short pieces.
+    for length in random.integers(24, HALF, 2):
+        start = text.find(b" ", int(random.integers(0, max(1, len(text) - int(length))))) + 1
+        if len(text) > 2 * length and start:
+            chunks.append(text[start : start + int(length)].rpartition(b" ")[0].ljust(SIZE, b"\0"))
+    for start in range(0, max(1, len(text) - HALF), HALF):
+        piece = text[start : start + SIZE]
+        if len(piece) >= 32:
+            chunks.append(piece.ljust(SIZE, b"\0"))
+    return chunks, random.integers(0, 1 << 62, len(chunks))
+
+
+def learn_filters(chunks: list[bytes], marks: np.ndarray, epochs: int) -> Network | None:
+    """A network from chunks in their drawn order, or None without both classes."""
+    if len(set(marks.tolist())) < 2:
         return None
-    order = np.random.default_rng(3).permutation(len(chunks))[:TRAIN_CHUNKS]
-    data = np.frombuffer(b"".join([chunks[i] for i in order]), np.uint8).reshape(-1, size)
     net = initial()
-    marks = np.array(marks, np.float32)[order]
+    data = np.frombuffer(b"".join(chunks), np.uint8).reshape(-1, SIZE)
     # Few chunks are seen more often, up to a fixed number of steps.
-    learn_chunks(net, data, marks, max(epochs, min(60, epochs * TRAIN_CHUNKS // (4 * len(data)))))
-    learn_combination(net, texts, labels)
+    learn_chunks(net, data, marks.astype(np.float32), max(epochs, min(60, epochs * TRAIN_CHUNKS // (4 * len(data)))))
+    return net
+
+
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Network | None:
+    """A network from texts in memory."""
+    drawn = [(place, chunk, label) for key, (text, label) in enumerate(zip(texts, labels)) for chunk, place in zip(*cut(key, text))]
+    drawn = sorted(drawn)[:TRAIN_CHUNKS]
+    net = learn_filters([x[1] for x in drawn], np.array([x[2] for x in drawn]), epochs)
+    if net is not None:
+        learn_combination(net, net.features(texts), labels)
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[bytes], np.ndarray]:
-    """Windows of labelled documents, at most `most` of each class, in the order of their ids."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+    """doc_id, quality, text of labelled documents, at most `most` of each class, written out."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("quality") == k).orderBy(order, "doc_id").limit(most) for k in (0, 1)]
     picked = picked[0].unionByName(picked[1])
-    place = F.greatest(F.lit(1), 1 + F.pmod(order, F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1))).cast("int")
-    windows = (
-        docs.select("doc_id", "text")
+    texts = (
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(picked), "doc_id")  # 2 * most rows at most
-        .select("doc_id", "quality", F.substring("text", place, F.lit(TRAIN_CHARS)).alias("text"))
-        .dropDuplicates(["doc_id"])
-        .toPandas()
-        .sort_values("doc_id")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
+        .agg(F.min("text").alias("text"))
     )
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in windows["text"]]
-    return texts, windows["quality"].to_numpy(float)
+    return stored(texts, "quality-sample")
+
+
+def learn(texts: DataFrame, epochs: int = EPOCHS) -> Network | None:
+    """A network from a sample; whole texts are read where they lie."""
+    ship(texts.sparkSession)
+
+    def cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                chunks, places = cut(key, text.as_py().encode("utf-8", "surrogatepass"))
+                if chunks:
+                    yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(chunks, pa.binary()), pa.array([mark] * len(chunks))], names=["place", "chunk", "mark"])
+
+    drawn = texts.mapInArrow(cutter, "place long, chunk binary, mark double").orderBy("place", "chunk", "mark").limit(TRAIN_CHUNKS).toArrow()
+    net = learn_filters(drawn.column("chunk").to_pylist(), drawn.column("mark").to_numpy(), epochs)
+    if net is None:
+        return None
+    del drawn
+
+    def describer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = net.features([t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(2)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, found.T[:3])], names=["doc_id", "quality", "mean", "least", "most"])
+
+    found = texts.mapInArrow(describer, "doc_id long, quality double, mean double, least double, most double").orderBy("doc_id").toArrow()
+    labels = found.column("quality").to_numpy()
+    learn_combination(net, np.stack([*(found.column(c).to_numpy() for c in ("mean", "least", "most")), np.ones(len(labels))], 1), labels)
+    return net
 
 
 #: The score's column, of a name that no table has.
@@ -266,7 +299,7 @@ def scored(docs: DataFrame, net: Network | None, columns: list[str]) -> DataFram
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    net = train(*sample(docs, labels))
+    net = learn(sample(docs, labels))
     return scored(docs, net, ["doc_id"]).withColumnRenamed(SCORE, "score").select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),

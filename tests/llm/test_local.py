@@ -196,6 +196,42 @@ def test_quality_network_learns_unseen_junk():
     assert quality.train(texts[:3], np.ones(3)) is None
 
 
+def plain_score(net, text):
+    """The network on one text, byte by byte: filters every STEP bytes, chunks of two halves, pooled; then mean and extremes."""
+    size = -(-(len(text) + quality.WIDTH - quality.STEP) // quality.HALF) * quality.HALF
+    data = text.ljust(size + quality.WIDTH, b"\0")
+    answers = []
+    for start in range(0, size - quality.WIDTH + quality.STEP, quality.STEP):
+        total = net.bias.astype(float).copy()
+        for tap in range(quality.TAPS):
+            at = start + tap * quality.STEP
+            window = np.concatenate([net.embed[b] for b in data[at : at + quality.STEP]]).astype(float)
+            total += window @ net.filters[:, tap * quality.FILTERS : (tap + 1) * quality.FILTERS]
+        answers.append(total)
+    per_half = quality.HALF // quality.STEP
+    halves = [np.max(answers[i : i + per_half], axis=0) for i in range(0, len(answers), per_half)]
+    chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:])] or halves
+    logits = [float(np.tanh(np.maximum(c, 0) @ net.dense + net.dense_bias) @ net.out + net.out_bias[0]) for c in chunks]
+    logits = np.clip(logits, -8, 8)
+    return 1 / (1 + np.exp(-np.dot([logits.mean(), logits.min(), logits.max(), 1], net.combine)))
+
+
+def test_quality_network_equals_a_plain_one():
+    """Whole texts of every length, together and alone, also across pieces."""
+    net = quality.initial(3)
+    net.bias += 0.1
+    net.combine = np.array([0.7, -0.4, 0.9, 0.2])
+    rng = random.Random(1)
+    texts = [bytes(rng.choices(range(1, 256), k=n)) for n in (0, 1, 3, 15, 16, 200, 243, 244, 245, 255, 256, 257, 500, 513, 2000, 5001)]
+    wanted = [plain_score(net, t) for t in texts]
+    assert np.allclose(net.score(texts), wanted, atol=1e-4)
+    before, quality.PIECE = quality.PIECE, 1024
+    try:
+        assert np.allclose(net.score(texts), wanted, atol=1e-4)
+    finally:
+        quality.PIECE = before
+
+
 @pytest.mark.parametrize("batch", [40, 70, 333])
 def test_repeated_rows_of_a_long_list(batch):
     """Copies in many partitions repeat each class in a list; every pair of classes still comes up, or both are in the long list."""

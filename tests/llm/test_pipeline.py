@@ -59,6 +59,26 @@ def test_nulls_pass(spark):
     assert corpus_pipeline.encoded(spark, docs, "").select(F.sum("n_tokens")).first()[0] == 2
 
 
+def test_one_of_each_group_without_ids(spark):
+    """Rows without an id are deduplicated too; a repeated id with another text is another document; rows without words stay."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (None, a), (None, a + " z"), (None, b), (None, b), (None, b + " z"), (1, "other words of one"), (1, "other words of one"), (None, None), (None, None), (5, " ")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()), key=str)
+    kept = [x for x in out if x[1] and x[1].startswith("b")]
+    assert len(kept) == 1 and kept[0][0] is None
+    assert sorted((x for x in out if x not in kept), key=str) == sorted([(1, a), (1, "other words of one"), (None, None), (None, None), (5, " ")], key=str)
+
+
+def test_rows_without_id_reach_the_end(spark, tmp_path):
+    """Through all stages: no row is lost for want of an id."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None if i % 3 == 0 else i, " ".join(f"w{i}_{j}" for j in range(30)), "en", "s", i) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = collections.Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert out[None] == 10 and sum(out.values()) == 30
+
+
 def test_mixing_stage_keeps_rows_without_id(spark):
     rows = [(None if i % 3 == 0 else i // 6, f"t{i} " * (20 + i), "en", [None, "a"][i % 2], i) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

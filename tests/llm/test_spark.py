@@ -389,3 +389,18 @@ def test_quality(docs, empty, spark):
     # Labels of held-out documents change nothing.
     other = labels.where(~quality.held_out(F.col("doc_id")) | F.col("doc_id").isNull())
     assert {k: v["score"] for k, v in by_id(quality.classify(docs, other)).items()} == {k: v["score"] for k, v in out.items()}
+
+
+def test_quality_of_repeated_ids(spark):
+    """An id with several texts is learned from alike in every run; texts in memory and on executors give the same network."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(WORDS, k=60)) + (" !!! ###" * 20 if i % 2 else ".")) for i in range(90)] + [(3, "another text " * 20), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    one, two = (quality.sample(df.repartition(n), labels) for n in (2, 7))
+    texts = {r["doc_id"]: r["text"] for r in one.collect()}
+    assert texts == {r["doc_id"]: r["text"] for r in two.collect()} and (3 not in texts or texts[3] == "")
+    nets = [quality.learn(x, 2) for x in (one, two)]
+    probe = [t.encode() for _, t in rows[:20]]
+    assert np.allclose(nets[0].score(probe), nets[1].score(probe), atol=1e-6)
+    assert all(quality.held_out is not None and zlib.crc32(str(i).encode()) % 3 != 1 for i in texts)
