@@ -18,24 +18,21 @@ from nava.session import stored, table
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; rejected ones go. It learns from the labels of the documents that reach this stage."""
-    net = quality.train(*quality.sample(docs, table(spark, sf_dir, "labels")))
+    net = quality.learn(quality.sample(docs, table(spark, sf_dir, "labels")))
     return quality.scored(docs, net, docs.columns).where(F.col(quality.SCORE) >= 0.5).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of rows that repeat an id, one.
+    """The document with the smallest id of each group of near duplicates, ids or not; of rows that repeat an id and its text, one.
 
     Documents without words link with nothing, so all of them stay.
     """
-    groups = jaccard.join(docs)
-    kept = stored(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text"))
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rows = docs.join(kept, "doc_id", "left_semi")
-    single = rows.join(repeated, "doc_id", "left_anti")
-    several = rows.join(repeated, "doc_id", "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    nameless = docs.where("doc_id is null")
-    return single.unionByName(several).unionByName(nameless).select(*docs.columns)
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    kept = stored(jaccard.representatives(docs, key), "kept").withColumnRenamed("key", "__key")
+    empty = F.coalesce(F.btrim("text", F.lit(mixing.SPACE)), F.lit("")) == ""
+    order = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
+    rows = docs.where(~empty).withColumn("__key", key).join(kept, "__key", "left_semi").withColumn("__row", F.row_number().over(order))
+    return rows.where("__row = 1").select(*docs.columns).unionByName(docs.where(empty))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
