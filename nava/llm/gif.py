@@ -3,8 +3,8 @@
 encode() stores bytes losslessly as palette indices of timed frames. decode() reads any GIF87a or GIF89a: variable-width LZW codes,
 global and local palettes, interlacing, transparency, and the disposal rules keep, background and previous.
 
-The encoder writes a clear code before the code width would grow, so every sample is one nine-bit code: packing and unpacking
-those streams are array operations. Streams with dictionary codes take the general decoder.
+Streams hold the usual dictionary codes. Code widths depend only on a code's place after the last clear code, so codes are packed and cut
+out as arrays; the dictionary itself is built code by code.
 
 Nulls, ties and edges: a null text is an empty one, of which the payload is one row of spaces; equal texts give equal values;
 very long texts make more frames, never larger ones; an empty table gives an empty result; other columns are ignored.
@@ -28,8 +28,8 @@ WIDTH = 192
 #: Rows of pixels in a frame at most, and a frame's time in hundredths of a second.
 ROWS = 192
 DELAY = 4
-#: Literals between two clear codes: the 255th code after a clear code would be ten bits wide.
-RUN = 254
+#: Entries of a full dictionary, and its widest code.
+FULL, WIDEST = 4096, 12
 BINS = 16
 
 
@@ -45,20 +45,10 @@ class Frame:
     palette: np.ndarray
 
 
-def pack_literals(samples: np.ndarray) -> bytes:
-    """LZW codes of nine bits for eight-bit samples: clear, up to RUN literals, clear, ..., end."""
-    runs = -(-len(samples) // RUN) or 1
-    codes = np.zeros(runs * (RUN + 1), np.uint16)
-    grid = codes.reshape(runs, RUN + 1)
-    grid[:, 0] = 256
-    full = len(samples) // RUN
-    grid[:full, 1:] = samples[: full * RUN].reshape(full, RUN)
-    rest = samples[full * RUN :]
-    if len(rest) or not full:
-        grid[full, 1 : 1 + len(rest)] = rest
-    codes = np.append(codes[: runs + len(samples)], np.uint16(257))
-    bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :9]
-    return np.packbits(bits, bitorder="little").tobytes()
+def widths(least: int, count: int) -> np.ndarray:
+    """Bits of the codes after a clear code: the k-th comes when the dictionary has k entries besides the symbols, clear and end."""
+    entries = np.minimum((1 << least) + 2 + np.arange(count), FULL)
+    return np.maximum(least + 1, np.ceil(np.log2(entries)).astype(np.int64))
 
 
 def in_sub_blocks(data: bytes) -> bytes:
@@ -79,112 +69,89 @@ def encode(samples: np.ndarray, width: int = WIDTH, rows: int = ROWS, delay: int
         # Disposal 2: a lower last frame stands on the background.
         parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", 2 << 2, delay, 0) + b"\0")
         parts.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, own, 0) + b"\x08")
-        parts.append(in_sub_blocks(pack_literals(samples[start * width : (start + own) * width])))
+        parts.append(in_sub_blocks(lzw_encode(samples[start * width : (start + own) * width].tobytes())))
     return b"".join(parts) + b"\x3b"
 
 
-def unpack_literals(data: np.ndarray, n: int) -> np.ndarray | None:
-    """The samples of a stream of nine-bit literals with a clear code before each RUN; None for any other stream."""
-    runs = -(-n // RUN)
-    total = n + runs
-    if not n or len(data) * 8 < total * 9:
-        return None
-    bits = np.unpackbits(data[: -(-total * 9 // 8)], bitorder="little")[: total * 9].reshape(total, 9)
-    low = np.packbits(bits[:, :8], axis=1, bitorder="little")[:, 0]
-    high = bits[:, 8]
-    clear = np.zeros(total, bool)
-    clear[:: RUN + 1] = True
-    if not (high[clear].all() and not low[clear].any()) or high[~clear].any():
-        return None
-    return low[~clear]
-
-
-def lzw_decode(data: bytes, least: int, n: int) -> np.ndarray:
-    """n samples from variable-width codes; least is the stream's minimum code size. Missing samples are 0."""
-    array = np.frombuffer(data, np.uint8)
-    if least == 8 and (samples := unpack_literals(array, n)) is not None:
-        return samples
-    clear, end = 1 << least, (1 << least) + 1
-    out = bytearray()
-    table: list[bytes] = []
-    width, before = least + 1, None
-    held = bits = at = 0
-    while len(out) < n:
-        while bits < width and at < len(data):
-            held |= data[at] << bits
-            bits, at = bits + 8, at + 1
-        if bits < width:
-            break
-        code = held & ((1 << width) - 1)
-        held, bits = held >> width, bits - width
-        if code == clear:
-            table = [bytes([i]) for i in range(clear)] + [b"", b""]
-            width, before = least + 1, None
-            continue
-        if code == end:
-            break
-        if not table:
-            table = [bytes([i]) for i in range(clear)] + [b"", b""]
-        if before is None:
-            word = table[code] if code < clear else b""
-        elif code < len(table):
-            word = table[code]
-        elif code == len(table) and len(table) < 4096:
-            word = before + before[:1]
-        else:
-            raise ValueError(f"LZW code {code} beyond the table of {len(table)}")
-        out += word
-        if before is not None and len(table) < 4096:
-            table.append(before + word[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-        before = word
-    return np.frombuffer(bytes(out[:n]).ljust(n, b"\0"), np.uint8)
-
-
 def lzw_encode(samples: bytes, least: int = 8) -> bytes:
-    """The usual LZW codes, for smaller files; decode() reads both forms."""
+    """Variable-width codes; the dictionary is cleared when it is full."""
     clear, end = 1 << least, (1 << least) + 1
-    held = bits = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held |= code << bits
-        bits += width
-        while bits >= 8:
-            out.append(held & 255)
-            held, bits = held >> 8, bits - 8
-
-    table = {bytes([i]): i for i in range(clear)}
-    following, width = end + 1, least + 1
-    put(clear, width)
-    word = b""
-    for i in range(len(samples)):
-        longer = word + samples[i : i + 1]
-        if longer in table:
+    codes = [clear]
+    put = codes.append
+    table: dict[int, int] = {}
+    known = table.get
+    following, word = end + 1, -1
+    for sample in samples:
+        if word < 0:
+            word = sample
+            continue
+        longer = known(word << 8 | sample)
+        if longer is not None:
             word = longer
             continue
-        put(table[word], width)
-        if following < 4096:
-            table[longer] = following
+        put(word)
+        if following < FULL:
+            table[word << 8 | sample] = following
             following += 1
-            if following > 1 << width and width < 12:
-                width += 1
         else:
-            put(clear, width)
-            table = {bytes([k]): k for k in range(clear)}
-            following, width = end + 1, least + 1
-        word = samples[i : i + 1]
-    if word:
-        put(table[word], width)
-        following += 1
-        if following > 1 << width and width < 12:
-            width += 1
-    put(end, width)
-    if bits:
-        out.append(held & 255)
-    return bytes(out)
+            put(clear)
+            table.clear()
+            following = end + 1
+        word = sample
+    if word >= 0:
+        put(word)
+    put(end)
+    # After each clear code stand FULL - end codes and the next clear code.
+    own = widths(least, FULL - end + 1)
+    bits = np.append(least + 1, np.resize(own, len(codes) - 1))
+    digits = np.unpackbits(np.array(codes, "<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(digits[np.arange(16) < bits[:, None]], bitorder="little").tobytes()
+
+
+def cut_codes(data: np.ndarray, at: int, bits: np.ndarray) -> np.ndarray:
+    """Codes of the given widths from bit at; data ends with three bytes of padding."""
+    ends = at + np.cumsum(bits)
+    bits = bits[: np.searchsorted(ends, (len(data) - 3) * 8, side="right")]
+    start = ends[: len(bits)] - bits
+    byte = start >> 3
+    return (data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (start & 7) & ((1 << bits) - 1)
+
+
+def lzw_decode(data: bytes, least: int, n: int) -> np.ndarray:
+    """n samples from variable-width codes; least is the stream's minimum code size. Missing samples are 0."""
+    padded = np.frombuffer(data + bytes(3), np.uint8).astype(np.int64)
+    clear, end = 1 << least, (1 << least) + 1
+    symbols = [bytes([i]) for i in range(clear)] + [b"", b""]
+    out: list[bytes] = []
+    size, at = 0, 0
+    schedule = widths(least, FULL)
+    table, before, place = symbols.copy(), None, 0
+    while size < n:
+        bits = schedule if not place else np.full(FULL, WIDEST)
+        codes = cut_codes(padded, at, bits)
+        if not len(codes):
+            break
+        stops = np.flatnonzero((codes == clear) | (codes == end))
+        stop = int(stops[0]) if len(stops) else len(codes)
+        for code in codes[:stop].tolist():
+            if code < len(table):
+                word = table[code]
+            elif before is not None and code == len(table) < FULL:
+                word = before + before[:1]
+            else:
+                raise ValueError(f"LZW code {code} beyond the table of {len(table)}")
+            if before is not None and len(table) < FULL:
+                table.append(before + word[:1])
+            out.append(word)
+            before = word
+        size += sum(map(len, out[len(out) - stop :]))
+        at += int(bits[: stop + 1].sum())
+        place = 1
+        if stop < len(codes):
+            if codes[stop] == end:
+                break
+            table, before, place = symbols.copy(), None, 0
+    return np.frombuffer(b"".join(out)[:n].ljust(n, b"\0"), np.uint8)
 
 
 def sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
