@@ -13,30 +13,35 @@ def _values(rows: list[tuple]) -> str:
 
 
 def mixing_sql(seed: int = 17) -> str:
-    """Targets by a search for the first source that isn't full; slots, blocks and offsets as the operator defines them."""
+    """Targets by a search for the first source that isn't full; blocks, slots and their ranks as the operator defines them."""
     return f"""
 with d as (
-    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+    select row_number() over () as r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
         ('0x' || substring(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint as h from documents),
 s as (
     select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as k,
         ([5.0, 2.0, 1.0])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w from d group by source),
-t as (select sum(source_size)::bigint as total, greatest(1, least(256, sum(source_size) // 65536))::bigint as block from s),
+t as (select sum(source_size)::bigint as total from s),
 f as (
     select *, 3.0::double * source_size as most,
         (total - coalesce(sum(3.0::double * source_size) over (order by 3.0::double * source_size / w, k rows between unbounded preceding and 1 preceding), 0))
         / sum(w) over (order by 3.0::double * source_size / w, k rows between current row and unbounded following) as level from s, t),
-g as (select *, least(most, w * coalesce((select max(level) from f where level <= most / w), 0)) as target from f),
-u as (select *, sum(case when total > 0 then target / total else 0 end) over (order by k rows unbounded preceding) as hi, max(case when target > 0 then k end) over () as last from g),
-p as (select *, case when k = last then 1.0 else hi end as top, coalesce(lag(hi) over (order by k), 0.0) as bottom from u),
-n as (select range * {mixing.PHI}::double as x from t, range(((total + block - 1) // block)::bigint)),
-c as (select p.k, count(n.x)::bigint as won from p left join n on x - floor(x) >= bottom and x - floor(x) < top group by p.k),
-b as (select p.*, won, greatest(1, (source_size + block - 1) // block)::bigint as blocks from p join c on p.k = c.k),
+g as (
+    select *, least(most, w * coalesce((select max(level) from f where level <= most / w), 0)) as target,
+        greatest(1, least({mixing.BLOCK}, source_size // {mixing.FINEST}))::bigint as block from f),
+u as (select *, sum(case when total > 0 then target / block else 0 end) over (order by k rows unbounded preceding) as needed, max(case when target > 0 then k end) over () as last from g),
+v as (select *, max(needed) over () as whole, greatest(1, (source_size + block - 1) // block)::bigint as blocks from u),
+p as (select *, case when k = last then 1.0 when whole > 0 then needed / whole else 0 end as top, coalesce(lag(case when whole > 0 then needed / whole else 0 end) over (order by k), 0.0) as bottom from v),
+n as (select range as slot, range * {mixing.PHI}::double as x from (select ceil(max(whole))::bigint as slots from v), range(slots)),
+c as (select p.k, blocks, row_number() over (partition by p.k order by slot) - 1 as rank from n join p on x - floor(x) >= bottom and x - floor(x) < top),
+b as (select k, rank % blocks as at, count(*)::bigint as times from c where rank < 3 * blocks group by all),
 o as (
-    select d.*, source_size, target, block, least(3, won // blocks)::bigint as times, case when won // blocks >= 3 then 0 else won % blocks end as more,
-        coalesce(sum(size) over (partition by d.source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start
-    from d join b on d.source is not distinct from b.source)
-select doc_id, size, source_size, target, (times * size + greatest(0, least(start + size, more * block) - start))::bigint as taken from o"""
+    select d.*, k, source_size, target, block,
+        coalesce(sum(size) over (partition by d.source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+    from d join p on d.source is not distinct from p.source),
+e as (select r, k, start, size, block, unnest(range(start // block, (start + size - 1) // block + 1)) as at from o where size > 0),
+x as (select r, sum(times * (least(start + size, (e.at + 1) * block) - greatest(start, e.at * block)))::bigint as taken from e join b on e.k = b.k and e.at = b.at group by r)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from o left join x on o.r = x.r"""
 
 
 def licenses_sql() -> str:

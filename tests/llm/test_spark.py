@@ -143,6 +143,43 @@ def test_targets_that_are_full(spark):
     assert all(out[i]["target"] == pytest.approx(target[s]) for i, _, s in rows) and out[0]["taken"] == 3
 
 
+def test_small_sources_come_near_their_targets(spark):
+    """Beside a source of many blocks; and against a plain schedule, slot by slot."""
+    counts = {"big": 600_000, "t1": 20, "t2": 100, "t3": 257, "t4": 1000, "t5": 30_000}
+    rows, n = [], 0
+    for source, words in counts.items():
+        while words:
+            own = min(words, RNG.choice([1, 7, 90, 3000]))
+            rows.append((n, "w " * own, source))
+            words, n = words - own, n + 1
+    out = by_id(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)))
+    taken, target = collections.Counter(), {}
+    for i, _, source in rows:
+        taken[source] += out[i]["taken"]
+        target[source] = out[i]["target"]
+        assert 0 <= out[i]["taken"] <= 3 * out[i]["size"]
+    assert target == pytest.approx(plain_targets(counts))
+    assert all(abs(taken[s] - target[s]) <= 4 + 0.003 * target[s] for s in counts), (taken, target)
+
+    order = sorted(counts)
+    block = {s: max(1, min(mixing.BLOCK, counts[s] // mixing.FINEST)) for s in order}
+    need = [target[s] / block[s] for s in order]
+    edges = np.cumsum(need) / sum(need)
+    edges[-1] = 1
+    times, rank = collections.Counter(), collections.Counter()
+    for slot in range(int(np.ceil(sum(need)))):
+        s = order[int(np.searchsorted(edges, slot * mixing.PHI % 1.0, side="right"))]
+        blocks = -(-counts[s] // block[s])
+        times[s, rank[s] % blocks] += rank[s] < 3 * blocks
+        rank[s] += 1
+    start = collections.Counter()
+    for i, text, s in sorted(rows, key=lambda r: int(hashlib.md5(f"17:{r[0]}".encode()).hexdigest()[:13], 16)):
+        own = len(text) // 2
+        wanted = sum(times[s, w // block[s]] for w in range(start[s], start[s] + own))
+        start[s] += own
+        assert abs(out[i]["taken"] - wanted) <= 0, (i, s)
+
+
 def test_ranked_schedule(spark):
     shares = spark.createDataFrame([("sa", "a", 0.0, 0.7), ("sb", "b", 0.7, 1.0)], "key string, source string, lo double, hi double")
     plan = mixing.ranked_schedule(mixing.schedule(shares, 1000), chunk=64).collect()
