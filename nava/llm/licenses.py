@@ -38,10 +38,6 @@ TEMPLATES = (
 )
 #: Share of a template's weight that an alignment must match.
 MIN_SCORE = 0.7
-#: Caps that the SQL has (index words of a template; index words of a file that look up). The operator has none: where a file holds so many
-#: notices that the SQL's caps bind, the operator finds more.
-ANCHORS = 4
-LOOKUPS = 12
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of the text before lower-casing: the class [^\x00-\x2F\x3A-\x60\x7B-\x7F] and A-Z.

@@ -45,7 +45,7 @@ select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken fr
 
 
 def licenses_sql() -> str:
-    """The same index as a join of all vocabulary words with all templates."""
+    """All alignments of all vocabulary words with all templates, without an index."""
     words = [(k, label, i, w) for k, (label, text, _) in enumerate(licenses.TEMPLATES) for i, w in enumerate(text.split())]
     needed = []
     for k, (_, text, phrase) in enumerate(licenses.TEMPLATES):
@@ -61,13 +61,11 @@ v as (select distinct w from t union select distinct w from b),
 h as (select r, w, pos - 1 as pos from (select r, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as pos from d) where w in (select w from v)),
 df as (select v.w, length(bin((select count(*) from d) // greatest(1, count(distinct h.r))))::bigint as weight from v left join h on h.w = v.w group by v.w),
 tw as (select t.*, weight, i >= a and i < z as needed from t join df on t.w = df.w join need on t.k = need.k),
-rare as (select distinct w, weight from (select *, row_number() over (partition by k order by weight desc, w) as q from (select distinct k, w, weight from tw)) where q <= {licenses.ANCHORS}),
-looked as (select r, w from (select h.r, h.w, row_number() over (partition by h.r order by weight desc, h.w) as q from (select distinct r, w from h) h join rare on h.w = rare.w) where q <= {licenses.LOOKUPS}),
 whole as (select k, sum(weight)::bigint as whole, count(*) filter (needed) as must from tw group by k),
 al as (
-    select h.r, tw.k, label, pos - i as start, sum(weight)::bigint as got, count(*) filter (needed) as kept, bool_or(looked.w is not null) as anchored
-    from h join tw on h.w = tw.w left join looked on looked.r = h.r and looked.w = h.w group by all),
-m as (select r, max(got::double / whole) as score, list(distinct label) as more from al join whole on al.k = whole.k where anchored and kept = must and got >= {licenses.MIN_SCORE}::double * whole group by r),
+    select h.r, tw.k, label, pos - i as start, sum(weight)::bigint as got, count(*) filter (needed) as kept
+    from h join tw on h.w = tw.w group by all),
+m as (select r, max(got::double / whole) as score, list(distinct label) as more from al join whole on al.k = whole.k where kept = must and got >= {licenses.MIN_SCORE}::double * whole group by r),
 bs as (select h.r, label, pos - i as start from h join b on h.w = b.w group by h.r, b.k, label, n, pos - i having count(*) = n),
 bp as (select r, count(*)::bigint as n_base, min(start)::bigint as first_word, max(start)::bigint as last_word, list(distinct label) as base from bs group by r)
 select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') as base_labels,
