@@ -13,6 +13,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from nava.session import ship
 
 _encodings: dict[str, tuple] = {}
+#: Long runs of white space (fixed values: Unicode's property White_Space).
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 def encoding(path: str, pattern: str) -> tuple:
@@ -38,6 +41,19 @@ def encoding(path: str, pattern: str) -> tuple:
     return _encodings[path]
 
 
+def encode(own, text: str) -> list[int]:
+    """Ids of a whole text. The pattern takes a run of white space up to its last character, which goes to the word that follows,
+    and a run at the end whole; the library's own search overflows on runs of a million, so long runs are cut out just there."""
+    ids: list[int] = []
+    at = 0
+    for run in RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += own.encode_ordinary(text[at : run.start()])
+        ids += own._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + own.encode_ordinary(text[at:])
+
+
 def line_starts(raw: np.ndarray) -> np.ndarray:
     """First bytes of lines; one that would begin at the end of the text isn't a line."""
     starts = np.flatnonzero(raw == 10) + 1
@@ -70,7 +86,7 @@ def counter(path: str, pattern: str):
                 for key, text in zip(part.column(0).to_pylist(), part.column(1)):
                     text = (text.as_py() or "").encode("utf-8", "replace").decode()
                     raw = np.frombuffer(text.encode(), np.uint8)
-                    ids = np.array(own.encode_ordinary(text), np.int64)
+                    ids = np.array(encode(own, text), np.int64)
                     starts = line_starts(raw)
                     tokens, crossing = attribute(token_bytes[ids], starts, len(raw))
                     # Characters begin at bytes that don't continue one.

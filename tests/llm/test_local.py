@@ -220,6 +220,18 @@ def test_token_attribution_adds_up():
     assert tokens.tolist() == [2, 1, 1] and crossing.tolist() == [1, 0, 0]
 
 
+def test_long_white_space_is_encoded():
+    """Runs that the library encodes as well give its ids; runs that make it overflow add up."""
+    own, lengths = tokencount.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(9)
+    for _ in range(60):
+        text = "".join(rng.choice(["a b", " x", "1", " ", "\n", "\t" * 1000, " " * 1500, " \n" * 700, "\u2003" * 1001, "\x1f" * 1200, "é!"]) for _ in range(8))
+        assert tokencount.encode(own, text) == own.encode_ordinary(text)
+    for run in ("\n" * 3_000_000, " " * 2_000_000, "\r\n" * 1_000_000):
+        ids = tokencount.encode(own, f"a{run}b")
+        assert lengths[ids].sum() == len(run) + 2 and own.decode(ids[-2:]) .endswith("b")
+
+
 def test_quality_network_learns_unseen_junk():
     rng = random.Random(4)
     words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(3000)]
