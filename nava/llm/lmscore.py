@@ -3,7 +3,8 @@
 The target model counts the words and bigrams of the documents that `target` marks, the background model those of all other
 documents; both are counted over every document. They are matched: one vocabulary (the same words and bigrams), the same
 smoothing, and background counts scaled to the target's total. A document's score is the mean over its words of the target loss
-less the background loss, so a lower score is nearer the target.
+less the background loss, so a lower score is nearer the target. Each document is scored without its own counts, which are taken out of the
+model that it belongs to: being in the target is not rewarded, only being like its other documents.
 
 Words and bigrams are counted exactly, by 64-bit digests, in tables that grow with the input and stay distributed. Documents lie in
 pieces of some PIECE words, a compressed row each. A piece sends each of its distinct n-grams once, however often it comes, packed by shards, which are equal
@@ -141,38 +142,46 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-class Model:
-    """Log probabilities of words after words, from counts."""
+def own_counts(where: np.ndarray) -> np.ndarray:
+    """How often each entry's value occurs among the entries."""
+    _, inverse, counts = np.unique(where, return_inverse=True, return_counts=True)
+    return counts[inverse]
 
-    def __init__(self, total: float, scale: float):
-        self.total, self.scale = total * scale, scale
 
-    def losses(self, single: np.ndarray, double: np.ndarray) -> np.ndarray:
-        """From the counts of a document's words and bigrams."""
-        single, double = single * self.scale, double * self.scale
-        share = UNIFORM if self.total else 1.0
-        p = (1 - share) * single / max(self.total, 1e-9) + share / (1 << UNIGRAMS)
-        if len(double):
-            p[1:] = (double + BACKOFF * p[1:]) / (single[:-1] + BACKOFF)
-        return -np.log(np.clip(p, 1e-12, 1.0))
+def losses(single: np.ndarray, double: np.ndarray, total: int, scale: float) -> np.ndarray:
+    """Losses of words after words, from the counts of a document's words and bigrams in a model of total words."""
+    single, double = single * scale, double * scale
+    share = UNIFORM if total > 0 else 1.0
+    p = (1 - share) * single / max(total * scale, 1e-9) + share / (1 << UNIGRAMS)
+    if len(double):
+        p[1:] = (double + BACKOFF * p[1:]) / (single[:-1] + BACKOFF)
+    return -np.log(np.clip(p, 1e-12, 1.0))
 
 
 def scorer(near: int, far: int):
     """Scores of documents, from rows in order of piece and shard, a piece's documents (without a shard) after its sums."""
-    models = Model(near, 1.0), Model(far, near / far if near and far else 1.0)
+    models = (True, near, 1.0), (False, far, near / far if near and far else 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: list[tuple[bytes, bytes]] = []
 
         def scores(data: bytes) -> pa.RecordBatch:
-            docs = [(doc_id, *grams(text)) for doc_id, text, _ in documents(data)]
-            _, where = np.unique(np.concatenate([x for d in docs for x in d[1:]]), return_inverse=True)
+            docs = [(doc_id, mark, *grams(text)) for doc_id, text, mark in documents(data)]
+            _, where = np.unique(np.concatenate([x for d in docs for x in d[2:]]), return_inverse=True)
             # The sums are in the order of the piece's distinct n-grams.
             tables = [np.concatenate([np.zeros(0, np.int64), *(unpacked(x[k], np.int64) for x in sums)]) for k in (0, 1)]
             rows, at = [], 0
-            for doc_id, single, double in docs:
+            for doc_id, mark, single, double in docs:
                 middle, end = at + len(single), at + len(single) + len(double)
-                a, b = (float(m.losses(t[where[at:middle]], t[where[middle:end]]).mean()) if len(single) else 0.0 for m, t in zip(models, tables))
+                words, pairs = where[at:middle], where[middle:end]
+                own = own_counts(words), own_counts(pairs)
+                found = []
+                for (side, total, scale), table in zip(models, tables):
+                    one, two = table[words], table[pairs]
+                    if side == mark:
+                        one, two, total = one - own[0], two - own[1], total - len(single)
+                    found.append(float(losses(one, two, total, scale).mean()) if len(single) else 0.0)
+                a, b = found
                 rows.append((doc_id, len(single), a, b, a - b))
                 at = end
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))]

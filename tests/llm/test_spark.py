@@ -348,39 +348,37 @@ def test_token_counts(docs, empty):
     assert tokencount.count(empty, path, pattern).count() == 0
 
 
+def plain_lm(rows):
+    """Scores of (id, words, near) by two models in which each document's own words don't count."""
+    one, two = {}, {}
+    for side in (True, False):
+        one[side] = collections.Counter(x for _, w, near in rows if near == side for x in w)
+        two[side] = collections.Counter(x for _, w, near in rows if near == side for x in zip(w, w[1:]))
+    totals = {side: sum(c.values()) for side, c in one.items()}
+    out = {}
+    for i, w, near in rows:
+        found = []
+        for side in (True, False):
+            scale = 1 if side or not (totals[True] and totals[False]) else totals[True] / totals[False]
+            own = (collections.Counter(w), collections.Counter(zip(w, w[1:]))) if side == near else ({}, {})
+            total, losses = totals[side] - (len(w) if side == near else 0), []
+            share = 0.1 if total > 0 else 1.0
+            for j, x in enumerate(w):
+                p = (1 - share) * (one[side][x] - own[0].get(x, 0)) / max(total, 1e-9) + share / 2**lmscore.UNIGRAMS
+                if j:
+                    pair = w[j - 1], x
+                    p = ((two[side][pair] - own[1].get(pair, 0)) * scale + 2 * p) / ((one[side][w[j - 1]] - own[0].get(w[j - 1], 0)) * scale + 2)
+                losses.append(-np.log(p))
+            found.append(float(np.mean(losses)) if w else 0.0)
+        out[i] = len(w), found[0], found[1], found[0] - found[1]
+    return out
+
+
 def test_lm_scores(docs, empty):
     out = by_id(lmscore.score(docs, F.col("source") == "a"))
-    near = [t.lower().split() for t, r in zip(TEXTS, ROWS) if t and r[3] == "a"]
-    far = [t.lower().split() for t, r in zip(TEXTS, ROWS) if t and r[3] != "a"]
-
-    def model(texts, scale):
-        one, two = collections.Counter(), collections.Counter()
-        for w in texts:
-            one.update(w)
-            two.update(zip(w, w[1:]))
-        total = sum(one.values())
-
-        def loss(w):
-            losses = []
-            for i, x in enumerate(w):
-                p = 0.9 * one[x] / total + 0.1 / 2**lmscore.UNIGRAMS
-                if i:
-                    p = (two[w[i - 1], x] * scale + 2 * p) / (one[w[i - 1]] * scale + 2)
-                losses.append(-np.log(p))
-            return float(np.mean(losses))
-
-        return loss, total
-
-    _, n_near = model(near, 1)
-    _, n_far = model(far, 1)
-    near_loss, far_loss = model(near, 1)[0], model(far, n_near / n_far)[0]
-    for i in range(40):
-        w = TEXTS[i].split()
-        assert out[i]["n_words"] == len(w)
-        if len(w) < 30:
-            continue  # one hashed bucket shared by chance weighs too much here
-        assert out[i]["target_loss"] == pytest.approx(near_loss(w), rel=0.02, abs=0.05)
-        assert out[i]["score"] == pytest.approx(near_loss(w) - far_loss(w), rel=0.03, abs=0.08)
+    wanted = plain_lm([(i, (t or "").encode().lower().split(), r[3] == "a") for i, (t, r) in enumerate(zip(TEXTS, ROWS))])
+    for i in range(len(TEXTS)):
+        assert tuple(out[i])[1:] == pytest.approx(wanted[i], abs=1e-9), i
     assert tuple(out[40])[1:] == (0, 0.0, 0.0, 0.0) and lmscore.score(empty, F.col("source") == "a").count() == 0
     assert lmscore.score(docs, F.lit(None).cast("boolean")).count() == len(TEXTS)
 
@@ -391,27 +389,18 @@ def test_lm_counts_are_exact(spark):
     rows = [(i, " ".join(f"w{rng.randrange(90_000)}" for _ in range(rng.choice([1, 2, 5, 400]))), i % 3 == 0) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, near boolean").repartition(3)
     out = by_id(lmscore.score(df, F.col("near"), 40_000))
-    one, two = {}, {}
-    for side in (True, False):
-        texts = [t.split() for _, t, near in rows if near == side]
-        one[side] = collections.Counter(x for w in texts for x in w)
-        two[side] = collections.Counter(x for w in texts for x in zip(w, w[1:]))
-    totals = {side: sum(c.values()) for side, c in one.items()}
+    wanted = plain_lm([(i, t.split(), near) for i, t, near in rows])
+    assert len(out) == len(rows)
+    assert all(tuple(out[i])[1:] == pytest.approx(wanted[i], abs=1e-9) for i in wanted)
 
-    def loss(w, side):
-        scale, losses = totals[True] / totals[side], []
-        for i, x in enumerate(w):
-            p = 0.9 * one[side][x] / totals[side] + 0.1 / 2**lmscore.UNIGRAMS
-            if i:
-                p = (two[side][w[i - 1], x] * scale + 2 * p) / (one[side][w[i - 1]] * scale + 2)
-            losses.append(-np.log(p))
-        return float(np.mean(losses))
 
-    assert len(out) == len(rows)
-    for i, text, _ in rows[::7]:
-        w = text.split()
-        a, b = loss(w, True), loss(w, False)
-        assert tuple(out[i])[1:] == (len(w), pytest.approx(a), pytest.approx(b), pytest.approx(a - b, abs=1e-9))
+def test_lm_target_gains_nothing_by_membership(spark):
+    """A text like no other scores alike whether it is marked or not."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(80)), i % 2 == 0) for i in range(40)]
+    odd = " ".join(f"odd{i}" for i in range(60))
+    scores = [by_id(lmscore.score(spark.createDataFrame([*rows, (99, odd, mark)], "doc_id long, text string, near boolean"), F.col("near")))[99]["score"] for mark in (True, False)]
+    assert scores[0] == pytest.approx(scores[1], abs=0.05)
 
 
 def test_quality(docs, empty, spark):
