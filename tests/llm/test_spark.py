@@ -212,6 +212,39 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id in (1, 50, 51)")).count() == 2
 
 
+def test_top_k_of_huge_components(spark):
+    """Products beyond 2 ** 53 are exact, beyond 64 bits the nearest 64-bit integer; zeros score zero."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(40, 3)) * 1e5)] + [(50, [1e30, -1e30, 1.0]), (51, [1e30, 0.0, 0.0]), (100, [0.0] * 3)]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    for q in (0, 50, 100):
+        products = {i: sum(a * b for a, b in zip(whole[q], v)) for i, v in whole.items() if i != q}
+        scores = sorted((-min(max(s, -(2**63)), 2**63 - 1), i) for i, s in products.items())[:5]
+        assert [got[q, r] for r in range(1, 6)] == [(i, -s) for s, i in scores]
+    rows = [(i, [1.0, float("1e200")]) for i in range(3)] + [(50, [2.0, 1.0]), (51, [1.0, 1.0])]
+    assert [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()] == [(50, 1, 51, 512 * 256 + 256 * 256)]
+
+
+def test_top_k_sends_only_blocks_that_matter(spark):
+    """One long vector among short ones: its block answers all, and no other block is sent."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * (1000 if i < 64 else 0.5)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    kept, names = topk.stored, {}
+
+    def watched(df, name, *rest):
+        names[name] = kept(df, name, *rest)
+        return names[name]
+
+    before, topk.BLOCK, topk.stored = (topk.BLOCK, topk.stored), 64, watched
+    try:
+        topk.top_k(df, 7).count()
+    finally:
+        topk.BLOCK, topk.stored = before
+    assert names["topk-blocks"].count() >= 9 and names["topk-pairs"].select("block").distinct().count() <= 2
+
+
 def brute_groups(rows):
     sets = {}
     for i, text in rows:
