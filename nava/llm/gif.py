@@ -80,25 +80,25 @@ def lzw_encode(samples: bytes, least: int = 8) -> bytes:
     put = codes.append
     table: dict[int, int] = {}
     known = table.get
-    following, word = end + 1, -1
-    for sample in samples:
-        if word < 0:
-            word = sample
-            continue
-        longer = known(word << 8 | sample)
-        if longer is not None:
+    following = end + 1
+    rest = iter(samples)
+    word = next(rest, None)
+    for sample in rest:
+        pair = word << 8 | sample
+        longer = known(pair)
+        if longer:
             word = longer
             continue
         put(word)
         if following < FULL:
-            table[word << 8 | sample] = following
+            table[pair] = following
             following += 1
         else:
             put(clear)
             table.clear()
             following = end + 1
         word = sample
-    if word >= 0:
+    if word is not None:
         put(word)
     put(end)
     # After each clear code stand FULL - end codes and the next clear code.
@@ -133,18 +133,22 @@ def lzw_decode(data: bytes, least: int, n: int) -> np.ndarray:
             break
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else len(codes)
+        words: list[bytes] = []
+        add, enter, entries = words.append, table.append, len(table)
         for code in codes[:stop].tolist():
-            if code < len(table):
+            if code < entries:
                 word = table[code]
-            elif before is not None and code == len(table) < FULL:
+            elif before is not None and code == entries < FULL:
                 word = before + before[:1]
             else:
-                raise ValueError(f"LZW code {code} beyond the table of {len(table)}")
-            if before is not None and len(table) < FULL:
-                table.append(before + word[:1])
-            out.append(word)
+                raise ValueError(f"LZW code {code} beyond the table of {entries}")
+            if entries < FULL and before is not None:
+                enter(before + word[:1])
+                entries += 1
+            add(word)
             before = word
-        size += sum(map(len, out[len(out) - stop :]))
+        out.append(b"".join(words))
+        size += len(out[-1])
         at += int(bits[: stop + 1].sum())
         place = 1
         if stop < len(codes):
@@ -225,9 +229,9 @@ def decode(data: bytes) -> Iterator[Frame]:
 
 def histogram(frame: Frame, bins: int = BINS) -> np.ndarray:
     """Opaque pixels of the composited canvas by channel and bin."""
-    opaque = frame.canvas[frame.canvas[..., 3] > 0][:, :3]
-    step = 256 // bins
-    return np.stack([np.bincount(opaque[:, c] // step, minlength=bins) for c in range(3)])
+    seen = frame.canvas[..., 3] > 0
+    opaque = frame.canvas.reshape(-1, 4) if seen.all() else frame.canvas[seen]
+    return np.stack([np.bincount(opaque[:, c], minlength=256).reshape(bins, -1).sum(1) for c in range(3)])
 
 
 def payload(text: str | None, width: int = WIDTH) -> tuple[int, bytes]:

@@ -205,7 +205,8 @@ def top_k(vectors: DataFrame, query_modulus: int = 50, k: int = K) -> DataFrame:
     lengths = blocks.select("block", "longest")
     longest = lengths.orderBy(F.desc("longest"), "block").first()
     # One block of BLOCK vectors is broadcast.
-    seeds = asked.withColumn("block", F.lit(longest["block"])).join(F.broadcast(blocks.where(F.col("block") == longest["block"])), "block")
+    seed = blocks.where(F.col("block") == longest["block"]).withColumn("seed", F.pmod("block", F.lit(1)))
+    seeds = asked.withColumn("seed", F.pmod("q_block", F.lit(1))).join(F.broadcast(seed), "seed")
     seeds = stored(seeds.mapInArrow(thresholds(k), "q_block long, least binary, need double"), "topk-seeds")
 
     def bucket(length: Column) -> Column:
