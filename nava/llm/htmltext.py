@@ -2,10 +2,11 @@
 
 A page becomes a sequence of text nodes, each with the path of tags (and classes) from the root. For each distinct path the text
 length and the punctuation of all its nodes are added up and divided by the number of nodes. Both ratios are smoothed over the page
-order with a Gaussian, fused by multiplication, and the threshold is a share of their spread: paths above it are content.
-The lowest element that holds nearly all of the content (length, fused with punctuation) is the article; all text below it belongs to the result, but for the parts that
-HTML or a class or id names as something else: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
-Where content lies in <article> or <main> elements, these are the articles.
+order with a Gaussian and fused by multiplication with what the path's tags, classes, ids and roles say: nothing for menus, headers, footers,
+sidebars, notices, adverts, forms and comments, more for <article> and <main>. The threshold is a share of the scores' spread, and paths above it
+are content. The lowest element that holds nearly all of the content (length by score) is the region: a path
+inside of it has at least the region's score, so that an article's headings and short items stand with it, and one outside has none. The
+nodes whose path reaches the threshold are the result. Scripts, styles and the like hold no text and are no nodes.
 
 Blocks: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by \n;
 <br> is white space.
@@ -30,6 +31,7 @@ from nava.session import ship
 #: Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
+SILENT = frozenset("script style noscript template iframe head title svg object canvas".split())
 DROPPED = frozenset(
     "script style noscript template iframe noembed noframes head title nav header footer aside form button select textarea menu dialog svg object canvas".split()
 )
@@ -202,29 +204,16 @@ def smooth(values: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarra
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def path_scores(nodes: list[tuple[str, Node, bool]]) -> dict[str, float]:
-    """Fused text and punctuation ratio of each path, smoothed over the page order."""
-    totals: dict[str, list[float]] = {}
-    for text, node, _ in nodes:
-        total = totals.setdefault(node.key, [0, 0, 0])
-        total[0] += len(text)
-        total[1] += len(PUNCTUATION.findall(text))
-        total[2] += 1
-    lengths = smooth(np.array([totals[node.key][0] / totals[node.key][2] for _, node, _ in nodes]))
-    marks = smooth(np.array([totals[node.key][1] / totals[node.key][2] for _, node, _ in nodes]))
-    fused = lengths * (1 + marks)
-    scores: dict[str, float] = {}
-    for (_, node, _), score in zip(nodes, fused):
-        scores[node.key] = max(scores.get(node.key, 0.0), float(score))
-    return scores
-
-
-#: The threshold as a share of the scores' standard deviation, and the share of the content (length by punctuation) that the article must hold.
+#: What a path's tags say: its weight inside <article>, inside <main>, and elsewhere.
+ARTICLE, MAIN, PLAIN = 8.0, 2.0, 1.0
+#: The threshold as a share of the scores' standard deviation, and the share of the content that the region must hold.
 SPREAD = 0.5
 HOLDS = 0.9
 #: The share of the page's text that keeps an element from being dropped by its name.
 MOST = 0.75
 
+Block = tuple[str, Node, bool]
+
 
 def up_from(node: Node | None) -> Iterator[Node]:
     while node is not None:
@@ -232,10 +221,9 @@ def up_from(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def kept(found: list[tuple[str, Node, bool]]) -> list[tuple[str, Node, bool]]:
-    """The blocks that aren't dropped. A name drops no element that holds the longest article or MOST of the page's text."""
-    if not any(node.dropped and any(x.why == "name" for x in up_from(node)) for _, node, _ in found):
-        return [x for x in found if not x[2]]
+def roles(found: list[Block]) -> list[float]:
+    """The weight of each block's path by its tags and names: 0 for what isn't part of an article. A name counts for nothing on
+    elements that hold the longest article or, on pages without one, MOST of the page's text."""
     chains = [list(up_from(node)) for _, node, _ in found]
     sizes: dict[int, int] = {}
     whole = 0
@@ -245,63 +233,75 @@ def kept(found: list[tuple[str, Node, bool]]) -> list[tuple[str, Node, bool]]:
             for x in chain:
                 sizes[x.index] = sizes.get(x.index, 0) + len(text)
     articles = [x for chain in chains for x in chain if x.tag in ("article", "main") and x.index in sizes]
-    spared = {i for i, size in sizes.items() if size >= MOST * whole}
     if articles:
-        spared.update(x.index for x in up_from(max(articles, key=lambda x: sizes[x.index])))
-    return [x for x, chain in zip(found, chains) if not any(y.why == "tag" or y.why and y.index not in spared for y in chain)]
+        spared = {x.index for x in up_from(max(articles, key=lambda x: sizes[x.index]))}
+    else:
+        spared = {i for i, size in sizes.items() if size >= MOST * whole}
+    out = []
+    for chain in chains:
+        tags = {x.tag for x in chain}
+        dropped = any(x.why == "tag" or x.why and x.index not in spared for x in chain)
+        out.append(0.0 if dropped else ARTICLE if "article" in tags else MAIN if "main" in tags else PLAIN)
+    return out
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks joined by a line feed."""
-    nodes = kept(blocks(page or ""))
-    if not nodes:
-        return ""
-    scores = path_scores(nodes)
-    values = np.array(list(scores.values()))
-    least = min(float(values.max()), SPREAD * float(values.std()))
-    content = [x for x in nodes if scores[x[1].key] >= least]
-    roots: dict[int, list[str]] = {}
-    sizes: dict[int, int] = {}
-    for text, node, _ in nodes:
-        up, found = node, None
-        while up is not None:
-            if up.tag in ("article", "main"):
-                found = up if found is None or up.tag == "article" and found.tag != "article" else found
-            up = up.parent
-        if found is not None:
-            roots.setdefault(found.index, []).append(text)
-            sizes[found.index] = sizes.get(found.index, 0) + len(text) * (scores[node.key] >= least)
-    if roots and max(sizes.values()):
-        # Several articles: those that hold a fair share of the content that the longest one holds.
-        most = max(sizes.values())
-        return "\n".join(t for k, texts in sorted(roots.items()) if sizes[k] * 2 >= most for t in texts)
+def ratios(found: list[Block]) -> np.ndarray:
+    """Text and punctuation of each block's path, a node of it, smoothed over the page order and fused."""
+    totals: dict[str, list[float]] = {}
+    for text, node, _ in found:
+        total = totals.setdefault(node.key, [0, 0, 0])
+        total[0] += len(text)
+        total[1] += len(PUNCTUATION.findall(text))
+        total[2] += 1
+    lengths = smooth(np.array([totals[node.key][0] / totals[node.key][2] for _, node, _ in found]))
+    marks = smooth(np.array([totals[node.key][1] / totals[node.key][2] for _, node, _ in found]))
+    return lengths * (1 + marks)
+
+
+def path_scores(found: list[Block]) -> list[float]:
+    """The score of each block's path: its highest fused ratio, by its role. Paths without a role are no neighbours of others."""
+    own = roles(found)
+    used = [i for i, role in enumerate(own) if role]
+    scores: dict[tuple[str, float], float] = {}
+    if used:
+        for i, ratio in zip(used, ratios([found[i] for i in used])):
+            path = found[i][1].key, own[i]
+            scores[path] = max(scores.get(path, 0.0), float(ratio))
+    return [role * scores.get((node.key, role), 0.0) for (_, node, _), role in zip(found, own)]
+
+
+def region(found: list[Block], scores: list[float], least: float) -> Node | None:
+    """The lowest element of several blocks that holds HOLDS of the content, None without one."""
     held: dict[int, list] = {}
-    whole = 0
-    for text, node, _ in content:
-        weight = len(text) * (1 + len(PUNCTUATION.findall(text)))
+    whole = 0.0
+    for (text, node, _), score in zip(found, scores):
+        if score < least or not score:
+            continue
+        weight = len(text) * score
         whole += weight
-        depth, up = 0, node
-        chain = []
-        while up is not None and up.parent is not None:
-            chain.append(up)
-            up = up.parent
-        for depth, up in enumerate(reversed(chain)):
+        for depth, up in enumerate(reversed([x for x in up_from(node) if x.parent is not None])):
             if up.tag in BLOCK and up.tag not in ("p", "li", "dt", "dd", "td", "th", "tr", "pre", "blockquote", *HEADINGS):
-                entry = held.setdefault(up.index, [0, depth, up])
+                entry = held.setdefault(up.index, [0.0, depth, up])
                 entry[0] += weight
     best = max((x for x in held.values() if x[0] >= HOLDS * whole), key=lambda x: x[1], default=None)
-    if best is None:
-        return "\n".join(t for t, _, _ in content)
+    return best and best[2]
 
-    def below(node: Node | None) -> bool:
-        while node is not None:
-            if node is best[2]:
-                return True
-            node = node.parent
-        return False
 
-    inside = [t for t, node, _ in nodes if below(node)]
-    return "\n".join(inside)
+def main_text(page: str | None) -> str:
+    """The blocks whose path reaches the threshold, joined by a line feed."""
+    found = [x for x in blocks(page or "") if not any(y.tag in SILENT for y in up_from(x[1]))]
+    if not found:
+        return ""
+    scores = path_scores(found)
+    values = np.array(list({(node.key, score): score for (_, node, _), score in zip(found, scores) if score}.values()) or [0.0])
+    least = min(float(values.max()), SPREAD * float(values.std()))
+    within = region(found, scores, least)
+    final = []
+    for (_, node, _), score in zip(found, scores):
+        if within is not None and score:
+            score = max(score, least) if any(x is within for x in up_from(node)) else 0.0
+        final.append(score)
+    return "\n".join(text for (text, _, _), score in zip(found, final) if score and score >= least)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -331,6 +331,44 @@ def test_names_drop_no_article(page, text):
     assert htmltext.main_text(page) == text
 
 
+UNMARKED = f"<body><div><div>Home | About</div><div><h1>T</h1><p>{SENTENCE}<p>short.<ul><li>one<li>two, three</ul></div><div>Imprint | Contact</div></div>"
+
+
+def test_ratios_equal_plain_ones():
+    """Text and punctuation of a path, a node of it; a Gaussian over the page order; the product."""
+    found = htmltext.blocks(UNMARKED)
+    paths = [node.key for _, node, _ in found]
+
+    def mean(path, measure):
+        own = [measure(text) for (text, _, _), p in zip(found, paths) if p == path]
+        return sum(own) / len(own)
+
+    def smoothed(values, i):
+        weights = {d: np.exp(-0.5 * d * d) for d in range(-2, 3)}
+        return sum(w * values[min(max(i + d, 0), len(values) - 1)] for d, w in weights.items()) / sum(weights.values())
+
+    lengths = [mean(p, len) for p in paths]
+    marks = [mean(p, lambda t: sum(t.count(c) for c in ".,;:!?")) for p in paths]
+    wanted = [smoothed(lengths, i) * (1 + smoothed(marks, i)) for i in range(len(paths))]
+    assert np.allclose(htmltext.ratios(found), wanted)
+    best = {p: max(w for w, q in zip(wanted, paths) if q == p) for p in paths}
+    assert np.allclose(htmltext.path_scores(found), [best[p] for p in paths])
+    inside = htmltext.path_scores(htmltext.blocks(f"<body><nav>a</nav><main>{UNMARKED}</main><article>{UNMARKED}</article></body>"))
+    assert inside[0] == 0 and min(inside[1:]) > 0
+
+
+def test_path_scores_select_the_nodes(monkeypatch):
+    """Without ratios an unmarked page, and without scores a marked one too, gives other text."""
+    marked = f"<nav>Menu</nav><article><p>{SENTENCE}</p><div class=ad>Buy</div></article><footer>F</footer>"
+    before = htmltext.main_text(UNMARKED), htmltext.main_text(marked)
+    assert before == (f"T\n{SENTENCE}\nshort.\none\ntwo, three", SENTENCE)
+    monkeypatch.setattr(htmltext, "ratios", lambda found: np.ones(len(found)))
+    assert htmltext.main_text(UNMARKED) != before[0]
+    monkeypatch.undo()
+    monkeypatch.setattr(htmltext, "path_scores", lambda found: [1.0] * len(found))
+    assert htmltext.main_text(UNMARKED) != before[0] and htmltext.main_text(marked) != before[1]
+
+
 def test_names_of_several_words_drop():
     for name in ("cookie-banner", "site-footer", "page-header", "comment-list", "related-posts", "ad-slot-1", "widget_area", "nav2", "Side-Bar"):
         assert htmltext.main_text(f"<div><div class='{name}'>Other, than that.</div><div class=post><p>{SENTENCE}<p>{SENTENCE}</div></div>") == f"{SENTENCE}\n{SENTENCE}", name
