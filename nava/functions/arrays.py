@@ -102,23 +102,33 @@ def shifted(x: Column, lag: Column) -> Column:
 def rolled(x: Column, lag: Column) -> Column:
     """Circular shift to the right by lag."""
     n = F.size(x)
-    k = F.pmod(lag, n).cast("int")
+    k = F.pmod(lag, F.greatest(n, F.lit(1))).cast("int")
     return F.concat(F.slice(x, n - k + 1, k), F.slice(x, F.lit(1), n - k))
 
 
+def common(a: Column, b: Column) -> tuple[Column, Column]:
+    """Both cut to the shorter length."""
+    n = F.least(F.size(a), F.size(b))
+    return F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
+
+
 def l1(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: F.abs(x - y))) / F.size(a)
+    """Mean distance over the common length; 0 without samples."""
+    x, y = common(a, b)
+    return F.when(F.least(F.size(a), F.size(b)) == 0, 0.0).otherwise(total(F.zip_with(x, y, lambda p, q: F.abs(p - q))) / F.least(F.size(a), F.size(b)))
 
 
 def relative_l2(a: Column, b: Column) -> Column:
-    """|a - b| over |a|, with 1e-12 below."""
-    return F.sqrt(squares(F.zip_with(a, b, lambda x, y: x - y))) / (F.sqrt(squares(a)) + 1e-12)
+    """|a - b| over |a|, with 1e-12 below, over the common length."""
+    x, y = common(a, b)
+    return F.sqrt(squares(F.zip_with(x, y, lambda p, q: p - q))) / (F.sqrt(squares(x)) + 1e-12)
 
 
 def waveform_snr(clean_: Column, other: Column, lag: Column) -> Column:
-    """Decibels of the clean signal over the difference, after a circular shift of the other."""
-    noise = squares(F.zip_with(clean_, rolled(other, lag), lambda x, y: x - y))
-    return 10 * F.log10((squares(clean_) + 1e-12) / (noise + 1e-12))
+    """Decibels of the clean signal, shifted circularly by the lag, over the difference; 0 for silence."""
+    x, y = common(rolled(clean_, lag), other)
+    level, noise = squares(x), squares(F.zip_with(x, y, lambda p, q: q - p)) + 1e-12
+    return F.when(level <= 1e-12, 0.0).otherwise(10 * F.log10(level / noise))
 
 
 def within(a: Column, b: Column, tolerance: float) -> Column:

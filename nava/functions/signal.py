@@ -42,24 +42,36 @@ def alignment_lag(reference: np.ndarray, other: np.ndarray, most: int) -> int:
     return int(lags[inside][np.argmax(values[inside])])
 
 
-def best_lag(reference: np.ndarray, other: np.ndarray, most: int) -> tuple[int, float]:
-    """The shift of `other` back onto the reference with the highest absolute correlation, and that, normalized."""
-    a, b = np.asarray(reference, float), np.asarray(other, float)
+@F.pandas_udf(LONG)
+def alignment_lags(reference: pd.Series, other: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([alignment_lag(x, y, int(m)) if x is not None and y is not None and len(x) and len(y) else 0 for x, y, m in zip(reference, other, most)])
+
+
+def best_lag(other: np.ndarray | None, reference: np.ndarray | None, most: int) -> tuple[int, float]:
+    """The lag in -most .. most at which the two correlate most in size, and the signed, normalized correlation there.
+
+    Positive where `other` comes later than the reference. Both are cut to the common length; (0, 0.0) without samples.
+    """
+    n = min(len(x) if x is not None else 0 for x in (other, reference))
+    if not n:
+        return 0, 0.0
+    a, b = (np.asarray(x[:n], float) for x in (reference, other))
     a, b = a - a.mean(), b - b.mean()
     lags, values = correlation(a, b)
-    inside = np.abs(lags) <= most
+    inside = np.abs(lags) <= min(most, n - 1)
     k = np.argmax(np.abs(values[inside]))
-    norm = np.sqrt((a @ a) * (b @ b)) + 1e-12
-    return -int(lags[inside][k]), float(abs(values[inside][k]) / norm)
+    return int(lags[inside][k]), float(values[inside][k] / (np.sqrt((a @ a) * (b @ b)) + 1e-12))
 
 
 @F.pandas_udf(LAG)
-def best_lags(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([best_lag(x, y, m) for x, y, m in zip(a, b, most)], columns=["lag", "corr"])
+def best_lags(other: pd.Series, reference: pd.Series, most: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([best_lag(x, y, int(m)) for x, y, m in zip(other, reference, most)], columns=["lag", "corr"])
 
 
 def high_fraction(x: np.ndarray, rate: int, cutoff: float) -> float:
-    """Energy above a frequency, of all."""
+    """Energy above a frequency, of all; 0 without samples."""
+    if x is None or not len(x):
+        return 0.0
     power = np.abs(np.fft.rfft(np.asarray(x, float))) ** 2
     frequency = np.fft.rfftfreq(len(x), 1 / rate)
     return float(power[frequency > cutoff].sum() / (power.sum() + 1e-12))
@@ -71,15 +83,24 @@ def high_fractions(x: pd.Series, rate: pd.Series, cutoff: pd.Series) -> pd.Serie
 
 
 def bandpass(x: np.ndarray, rate: int, low: float, high: float, order: int = 6) -> np.ndarray:
-    """Zero-phase band-pass with a Butterworth magnitude, applied to the spectrum; cut-offs are clamped below half the rate."""
+    """Zero-phase Butterworth band-pass: the squared magnitude of the digital filter, as passes forward and back give it, on the spectrum.
+
+    The upper cut-off is kept below 0.98 of half the rate and the lower one below 0.8 of the upper. Ends are mirrored, where a recursive
+    filter has its own transients; inside, both agree.
+    """
     x = np.asarray(x, float)
+    if low <= 0 or high <= 0:
+        raise ValueError("cut-offs must be positive")
+    if not len(x):
+        return x
     high = min(high, 0.49 * rate)
-    low = max(1.0, min(low, 0.9 * high))
-    f = np.fft.rfftfreq(2 * len(x), 1 / rate)
-    with np.errstate(divide="ignore"):
-        gain = 1 / (1 + (f / high) ** (2 * order)) / (1 + np.where(f > 0, low / np.maximum(f, 1e-9), np.inf) ** (2 * order))
-    padded = np.concatenate([x, x[::-1]])
-    return np.fft.irfft(np.fft.rfft(padded) * gain, 2 * len(x))[: len(x)]
+    low = min(low, 0.8 * high)
+    # The bilinear transform's frequencies.
+    f = np.tan(np.pi * np.minimum(np.fft.rfftfreq(2 * len(x), 1 / rate) / rate, 0.4999999))
+    f1, f2 = np.tan(np.pi * low / rate), np.tan(np.pi * high / rate)
+    shifted = (f**2 - f1 * f2) / np.maximum(f * (f2 - f1), 1e-300)
+    gain = 1 / (1 + np.minimum(np.abs(shifted), 1e20) ** (2 * order))
+    return np.fft.irfft(np.fft.rfft(np.concatenate([x, x[::-1]])) * gain, 2 * len(x))[: len(x)]
 
 
 @F.pandas_udf(DOUBLES)
@@ -116,9 +137,14 @@ def a_law(x: np.ndarray, bits: int = 8, a: float = 87.6) -> np.ndarray:
 
 
 def burst_mask(n: int, loss: float, burst: float, random: np.random.Generator) -> np.ndarray:
-    """Lost frames of a two-state chain with this loss rate and mean burst length, from its stationary state."""
+    """Lost frames of a two-state chain with this loss rate (kept within 0 and 1) and mean burst length, from its stationary state.
+
+    One draw a frame, the first for the starting state: equal seeds give equal masks of this engine, not those of others.
+    """
+    loss = min(max(loss, 0.0), 1.0)
     leave = 1 / max(burst, 1.0)
     enter = min(1.0, loss * leave / max(1 - loss, 1e-9))
+    leave = 0.0 if loss == 1 else leave
     draws = random.random(n)
     lost = np.zeros(n, bool)
     state = bool(draws[0] < loss) if n else False

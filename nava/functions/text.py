@@ -9,10 +9,12 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from nava.functions import edits as E
+
 # Fixed values of the Persian pack: letters that reject a text, ordered replacements, discarded marks.
 PERSIAN_REJECT = r"[A-Za-z=āšة]"
 PERSIAN_REPLACE = (
@@ -141,30 +143,12 @@ def unsafe_path(path: Column, root: str = "clips/") -> Column:
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Character edits over the longer length; 0 for equal texts, 1 if only one is empty."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, 0.0).when((F.length(a) == 0) | (F.length(b) == 0), 1.0).otherwise(F.levenshtein(a, b) / longest)
-
-
-#: One code for each distinct word of a pair of texts.
-ALPHABET = "".join(map(chr, [*range(33, 127), *range(0x4E00, 0x9E00)]))
+    return E.distance(a, b)
 
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Word edits: each distinct word of both texts becomes one character, and characters are compared.
-
-    Null for a pair with more distinct words than the alphabet has characters (20,574).
-    """
-    words = lambda c: F.filter(F.split(squeeze(c), " "), lambda w: w != "")
-    r, h = words(reference), words(hypothesis)
-    pair = F.struct(r.alias("r"), h.alias("h"), F.array_distinct(F.concat(r, h)).alias("known"))
-
-    def coded(s: Column, name: str) -> Column:
-        codes = F.split(F.lit(ALPHABET), "")  # folded to one literal: a code is read by its index
-        return F.array_join(F.transform(s[name], lambda w: F.get(codes, F.array_position(s["known"], w).cast("int") - 1)), "")
-
-    # The pair is bound once by a transform over one element; within a lambda its parts aren't computed again for each word.
-    distance = lambda s: F.when(F.size(s["known"]) <= len(ALPHABET), F.levenshtein(coded(s, "r"), coded(s, "h")))
-    return F.get(F.transform(F.array(pair), distance), F.lit(0))
+    """Word edits of two texts, whatever their number of distinct words."""
+    return E.word_edits(squeeze(reference), squeeze(hypothesis))
 
 
 def word_count(text: Column) -> Column:
@@ -257,10 +241,16 @@ def station_reason(station: Column, name: Column, overrides: list[str] | None =
     """included_default, included_override, a reason of exclusion, or null for numbers outside the ranges."""
     if overrides:
         return F.when(station.isin(overrides), F.lit("included_override"))
-    number = F.expr("1") * station.cast("int")
+    number = station.try_cast("int")
     inside = reduce(lambda a, b: a | b, [number.between(*r) for r in STATION_RANGES])
     out = F.lit("included_default")
     for own, reason in STATION_EXCLUDED:
         out = F.when(station == own, reason).otherwise(out)
     out = F.when(number.between(*VISUAL_RANGE) | name.rlike(VISUAL_NAME), "radio_visual_station").otherwise(out)
     return F.when(inside, out)
+
+
+def unknown_overrides(stations: DataFrame, station: str, overrides: list[str]) -> DataFrame:
+    """Override numbers that no station has; an empty result is a pass."""
+    wanted = stations.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(overrides)], f"{station} string")
+    return wanted.join(stations.select(F.col(station).cast("string").alias(station)), station, "left_anti")

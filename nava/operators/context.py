@@ -20,12 +20,22 @@ def session_key(source: Column, row_id: Column) -> Column:
 
 
 def context(df: DataFrame, session: str, order: list, text: str, accepted: Column, before: int, after: int) -> DataFrame:
-    """Adds preceding (the last `before` accepted texts) and following (the next `after` texts)."""
+    """Adds preceding (the last `before` accepted texts) and following (the next `after` texts).
+
+    Accepted rows gather their last texts in a bounded frame, and every row takes what the accepted row before it gathered, so
+    nothing grows with the session.
+    """
+    none = F.array().cast("array<string>")
+    rows = df.withColumn("__accepted", F.coalesce(accepted & F.col(text).isNotNull(), F.lit(False)))
     w = Window.partitionBy(session).orderBy(*order)
-    history = F.collect_list(F.when(accepted, F.col(text))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    kept = F.slice(history, F.greatest(F.size(history) - before + 1, F.lit(1)), F.lit(before)) if before else F.array().cast("array<string>")
-    following = F.collect_list(text).over(w.rowsBetween(1, after)) if after else F.array().cast("array<string>")
-    return df.withColumn("preceding", kept).withColumn("following", following)
+    if before:
+        own = Window.partitionBy(session, "__accepted").orderBy(*order).rowsBetween(1 - before, 0)
+        rows = rows.withColumn("__last", F.when(F.col("__accepted"), F.collect_list(text).over(own)))
+        rows = rows.withColumn("preceding", F.coalesce(F.last("__last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), none))
+    else:
+        rows = rows.withColumn("preceding", none)
+    following = F.collect_list(text).over(w.rowsBetween(1, after)) if after else none
+    return rows.withColumn("following", following).drop("__accepted", "__last")
 
 
 def contract_reason(response: Column, keys: tuple[str, ...]) -> Column:

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nava.functions import edits as E
 from nava.functions import text as T
 
 
 def error_counts(df: DataFrame, reference: Column, hypothesis: Column) -> DataFrame:
-    """Adds word and character edits and the reference's words and characters."""
-    r, h = T.squeeze(reference), T.squeeze(hypothesis)
-    return (
-        df.withColumn("word_edits", T.word_distance(r, h)).withColumn("words", T.word_count(r))
-        .withColumn("char_edits", F.levenshtein(r, h)).withColumn("chars", F.length(r))
-    )
+    """Adds word and character edits and the reference's words and characters, of whole texts with white space squeezed."""
+    rows = df.withColumn("__counts", E.counted(T.squeeze(reference), T.squeeze(hypothesis)))
+    return rows.select(*df.columns, "__counts.*")
 
 
 def error_rates(df: DataFrame, *groups: str, overall: bool = False) -> DataFrame:

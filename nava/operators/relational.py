@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nava.session import stored
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -91,19 +93,25 @@ def closest_prefix(groups: DataFrame, key: str, value: str, target: float, seed:
     return kept.where(~crossing).drop("__order", "before")
 
 
-def budget_stop(df: DataFrame, key: str, value: str, limit: int, width: int = 20) -> DataFrame:
-    """Rows in key order before the first that would exceed the limit; smaller later rows aren't let in.
+def ordered_sum(df: DataFrame, keys: list[str | Column], value: str | Column, name: str = "running") -> DataFrame:
+    """Adds the sum up to and with the row, in the order of any keys.
 
-    A range part's sum decides for all of its rows but those of the part that crosses.
+    Rows are range-partitioned by the keys and written out; sums of partitions are added up (a row for each partition), and rows within.
     """
-    parts = 64
-    rows = df.withColumn("__part", F.pmod(F.floor(F.col(key) / 1000), F.lit(1 << 40)))
-    sums = rows.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    order = [F.col(k) if isinstance(k, str) else k for k in keys]
+    dealt = df.withColumn("__value", value if isinstance(value, Column) else F.col(value)).repartitionByRange(*order)
+    rows = stored(dealt.withColumn("__part", F.spark_partition_id()), "ordered-sum")
+    sums = rows.groupBy("__part").agg(F.sum("__value").alias("__sum"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before")).where(F.col("__before") <= limit)
-    within = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(sums, "__part").withColumn("running", F.col("__before") + F.sum(value).over(within))
-    return rows.where(F.col("running") <= limit).drop("__part", "__before")
+    sums = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__within", F.coalesce(F.sum("__value").over(within), F.lit(0))).join(F.broadcast(sums), "__part")
+    return rows.withColumn(name, F.col("__before") + F.col("__within")).drop("__value", "__part", "__before", "__within")
+
+
+def budget_stop(df: DataFrame, keys: str | list[str | Column], value: str, limit: int) -> DataFrame:
+    """Rows in key order before the first that would exceed the limit; smaller later rows aren't let in."""
+    return ordered_sum(df, keys if isinstance(keys, list) else [keys], value).where(F.col("running") <= limit)
 
 
 def cohorts(df: DataFrame, order: list[str], size: int, group: list[str]) -> DataFrame:

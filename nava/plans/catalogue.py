@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nava.functions import arrays as A
 from nava.functions import dates as D
+from nava.functions import edits as E
 from nava.functions import html as H
 from nava.functions import signal as S
 from nava.functions import text as T
@@ -78,10 +79,28 @@ def text_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_latin(F.col("text")).alias("normalized"))
 
 
-@query()
+# Persian texts: the documents in other letters, some of them of those that the pack replaces, with one word that it discards.
+_FROM, _TO = "abcdefghijklmnopqrstuvwxyz", "ابپتثجچحخدذرزسشصطعفقهكيىﻢء"
+_PERSIAN = f"translate(lower(text), '{_FROM}', '{_TO}') || case when doc_id % 3 = 0 then ' #دور (خنده) ۀم' when doc_id % 7 = 0 then ' Q' else '' end"
+
+
+def _persian_sql(t: str) -> str:
+    out = _WORDS.format(t=t)
+    for a, b in T.PERSIAN_REPLACE:
+        out = f"replace({out}, '{a}', '{b}')"
+    out = f"replace({out}, '{T.PERSIAN_DISCARD_WORD}', '')"
+    out = f"translate({out}, '{T.PERSIAN_DISCARD.replace(chr(39), chr(39) * 2)}', '')"
+    # Of what the compatibility composition changes the texts have this one letter; then the hamza goes.
+    out = f"replace(replace({out}, 'ﻡ', 'م'), 'ء', '')"
+    return f"case when not regexp_matches({t}, '[A-Za-z=āšة]') then trim(regexp_replace(regexp_replace({out}, '\\p{{P}}', '', 'g'), '\\s+', ' ', 'g')) end"
+
+
+@query(f"select doc_id, {_persian_sql('t')} as normalized from (select doc_id, {_PERSIAN} as t from documents)")
 def text_normalize_persian(spark, sf_dir):
-    """The Persian pack, with NFKC: texts in Latin letters are rejected."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_persian(F.col("text")).alias("normalized"))
+    """The Persian pack, with NFKC, on texts in Persian letters; Latin ones reject."""
+    tail = F.when(F.col("doc_id") % 3 == 0, " #دور (خنده) ۀم").when(F.col("doc_id") % 7 == 0, " Q").otherwise("")
+    text = F.concat(F.translate(F.lower("text"), _FROM, _TO), tail)
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("t")).select("doc_id", T.normalize_persian(F.col("t")).alias("normalized"))
 
 
 @query(f"select doc_id, coalesce({_latin('text')}, case when doc_id % 2 = 0 then {_PLAIN.format(t='text')} end) as sentence from documents")
@@ -147,11 +166,12 @@ def dup_key_check(spark, sf_dir):
     return C.duplicates(table(spark, sf_dir, "conversations"), "conv_id")
 
 
-@query("""select target, sources::bigint as sources from (select case when c = '' then 'source' else c end[1:96] as target, count(distinct url) as sources
-from (select url, trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '-._') as c from pages) group by 1) where sources > 1""")
+@query("""select target, sources::bigint as sources from (select case when c = '' then 'source' else c end[1:96] as target, count(distinct name) as sources
+from (select name, trim(regexp_replace(name, '[^A-Za-z0-9._-]+', '-', 'g'), '-._') as c from (select source || ['', '!', ' ? '][doc_id % 3 + 1] || lang as name from documents)) group by 1) where sources > 1""")
 def collision_check(spark, sf_dir):
-    """Different URLs with one safe id."""
-    return C.safe_id_collisions(table(spark, sf_dir, "pages"), "url")
+    """Different names with one safe id."""
+    between = F.element_at(F.array(F.lit(""), F.lit("!"), F.lit(" ? ")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return C.safe_id_collisions(table(spark, sf_dir, "documents").select(F.concat("source", between, "lang").alias("name")), "name")
 
 
 @query("select l_orderkey, l_linenumber from lineitem where not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus <> 'P')")
@@ -218,9 +238,10 @@ def split_stable_hash(spark, sf_dir):
     return R.stable_split(table(spark, sf_dir, "documents"), group, "v1", {"train": 0.8, "dev": 0.9 - 0.8, "test": 0.1}).select("doc_id", "split")
 
 
-@query("select source, 1::bigint as splits from documents where false")
+@query(f"""select source, count(distinct split)::bigint as splits from (select source, case when {_UNIT.format(key="'v1|' || doc_id")} < 0.8 then 'train' else 'test' end as split from documents where source is not null) group by source having count(distinct split) > 1""")
 def split_leaks(spark, sf_dir):
-    df = R.stable_split(table(spark, sf_dir, "documents"), F.col("source"), "v1", {"train": 0.8, "test": 0.2})
+    """Sources that a split by document leaks across."""
+    df = R.stable_split(table(spark, sf_dir, "documents").where("source is not null"), F.col("doc_id"), "v1", {"train": 0.8, "test": 0.2})
     return M.no_leak(df, "source", "split")
 
 
@@ -392,31 +413,51 @@ def rollup_flags(spark, sf_dir):
 
 def _pairs(spark, sf_dir) -> DataFrame:
     """Turns as references, and hypotheses that drop every fifth word and change every seventh."""
-    words = F.filter(F.split(T.squeeze(F.regexp_replace("text", r"[^\x00-\x7F]", "")), " "), lambda w: w != "")
+    words = F.filter(F.split(T.squeeze(F.col("text")), " "), lambda w: w != "")
     kept = F.filter(F.transform(words, lambda w, i: F.when(i % 5 == 4, F.lit(None)).when(i % 7 == 6, F.lit("x")).otherwise(w)), lambda w: w.isNotNull())
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_join(words, " ").alias("reference"), F.array_join(kept, " ").alias("hypothesis"))
 
 
-_PAIRS = """p0 as (select conv_id, turn, role, list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') as w from conversations),
-p as (select conv_id, turn, role, array_to_string(w, ' ') as reference, array_to_string(list_filter([case when (i - 1) % 5 = 4 then null when (i - 1) % 7 = 6 then 'x' else w[i] end for i in range(1, len(w) + 1)], lambda v: v is not null), ' ') as hypothesis from p0)"""
+_PAIRS = """p0 as (select conv_id, turn, role, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '') as r from conversations),
+p1 as (select row_number() over () as pair, *, list_filter([case when (i - 1) % 5 = 4 then null when (i - 1) % 7 = 6 then 'x' else r[i] end for i in range(1, len(r) + 1)], lambda v: v is not null) as h from p0),
+p as (select *, array_to_string(r, ' ') as reference, array_to_string(h, ' ') as hypothesis from p1)"""
 
+# DuckDB compares bytes, so a pair's characters are first written as letters of ASCII; the tables' pairs have fewer distinct ones.
+_LETTERS = "".join(map(chr, [*range(48, 127), *range(33, 48)])).replace("'", "''")
 
-@query()
+
+def _char_edits(a: str, b: str) -> str:
+    own = f"array_to_string(list_distinct(regexp_extract_all({a} || {b}, '(?s).')), '')"
+    coded = lambda x: f"translate({x}, {own}, '{_LETTERS}'[1:len({own})])"
+    return f"levenshtein({coded(a)}, {coded(b)})"
+
+
+# The distance matrix of words by its diagonals: cur is the diagonal's value at row i, before the one of the diagonal before.
+_WORD_EDITS = """x as (select pair, len(r) as n, len(h) as m, r, h from p),
+t(pair, n, m, i, d, cur, before) as (
+    select pair, n, m, i, 0, case when i = 0 then 0 end, null::bigint from x, range(0, n + 1) g(i) union all
+    select s.pair, s.n, s.m, s.i, s.d, case when s.j < 0 or s.j > s.m then null when s.i = 0 then s.j when s.j = 0 then s.i else least(cur + 1, up + 1, diag + (x.r[s.i] <> x.h[s.j])::int) end, cur
+    from (select pair, n, m, i, d + 1 as d, d + 1 - i as j, cur, lag(cur) over (partition by pair order by i) as up, lag(before) over (partition by pair order by i) as diag from t where d < n + m) s join x on s.pair = x.pair),
+we as (select pair, cur as word_edits from t where d = n + m and i = n)"""
+
+
+@query(f"""with recursive {_PAIRS}, {_WORD_EDITS}, e as (select role, word_edits, len(r) as words, {_char_edits('reference', 'hypothesis')} as char_edits, len(reference) as chars from p join we using (pair))
+select coalesce(role, 'all') as role, count(*)::bigint as examples, round(sum(word_edits) / sum(words)::double, 6) as wer, round(sum(char_edits) / sum(chars)::double, 6) as cer from e group by rollup(role)""")
 def wer_by_dataset(spark, sf_dir):
     """Word and character error rates by role and overall, over edits of whole texts."""
     rows = M.error_counts(_pairs(spark, sf_dir), F.col("reference"), F.col("hypothesis"))
     return M.error_rates(rows, "role", overall=True).select(F.coalesce("role", F.lit("all")).alias("role"), "examples", rounded("wer", "wer"), rounded("cer", "cer"))
 
 
-@query(f"""with {_PAIRS}, e as (select role, levenshtein(reference, hypothesis) as edits, len(reference) as n from p)
+@query(f"""with {_PAIRS}, e as (select role, {_char_edits('reference', 'hypothesis')} as edits, len(reference) as n from p)
 select coalesce(role, 'all') as role, count(*)::bigint as examples, round(sum(edits) / sum(n)::double, 6) as cer from e group by rollup(role)""")
 def cer_by_dataset(spark, sf_dir):
-    rows = M.error_counts(_pairs(spark, sf_dir), F.col("reference"), F.col("hypothesis"))
+    rows = _pairs(spark, sf_dir).select("role", E.char_edits("reference", "hypothesis").alias("char_edits"), F.length("reference").alias("chars"))
     rate = rounded(F.sum("char_edits") / F.sum("chars"), "cer")
     return rows.rollup("role").agg(F.count("*").alias("examples"), rate).select(F.coalesce("role", F.lit("all")).alias("role"), "examples", "cer")
 
 
-@query(f"""with {_PAIRS}, d as (select *, case when reference = hypothesis then 0.0 when reference = '' or hypothesis = '' then 1.0 else levenshtein(reference, hypothesis) / greatest(len(reference), len(hypothesis))::double end as distance from p)
+@query(f"""with {_PAIRS}, d as (select *, case when reference = hypothesis then 0.0 when reference = '' or hypothesis = '' then 1.0 else {_char_edits('reference', 'hypothesis')} / greatest(len(reference), len(hypothesis))::double end as distance from p)
 select conv_id, turn, round(distance, 6) as distance, case when role = 'system' then 'model_uncertain' when reference = '' then 'target_normalization_rejected' when hypothesis = '' then 'persian_normalization_rejected' when distance > 0.25 then 'edit_distance_exceeded' end as reason from d""")
 def edit_gate(spark, sf_dir):
     """The distance of two texts, and the first check that fails."""
@@ -428,7 +469,10 @@ def edit_gate(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", rounded(distance, "distance"), reason.alias("reason"))
 
 
-@query()
+@query(f"""with {_PAIRS}, n as (select conv_id, turn, role, {_latin('reference')} as wanted, {_latin('hypothesis')} as cleaned from p),
+d as (select *, case when wanted = cleaned then 0.0 when wanted = '' or cleaned = '' then 1.0 else {_char_edits('wanted', 'cleaned')} / greatest(len(wanted), len(cleaned))::double end as distance from n)
+select conv_id, turn, cleaned as cleaned_text, round(distance, 6) as distance, case when role = 'system' then 'model_uncertain' when coalesce(cleaned, '') = '' then 'persian_normalization_rejected' when coalesce(wanted, '') = '' then 'target_normalization_rejected'
+when regexp_extract_all(wanted, '(\\p{{Nd}}+)', 1) <> regexp_extract_all(cleaned, '(\\p{{Nd}}+)', 1) then 'numeric_tokens_changed' when distance > 0.35 then 'edit_distance_exceeded' end as reason from d""")
 def response_ledger(spark, sf_dir):
     """JSON responses through the whole ladder of checks."""
     rows = _pairs(spark, sf_dir).withColumn("response", F.to_json(F.struct(F.col("hypothesis").alias("cleaned_text"), (F.col("role") == "system").alias("uncertain"))))
@@ -563,7 +607,11 @@ def segment_greedy(spark, sf_dir):
     return I.segments(rows, "user_id", "duration").select("user_id", rounded("start_sec", "start_sec", 4), rounded("end_sec", "end_sec", 4), rounded("speech_seconds", "speech_seconds", 4), "boundary_type")
 
 
-@query()
+@query("""with recursive o as (select conv_id, turn, len(text)::double as length, row_number() over (partition by conv_id order by len(text) desc, turn) as i from conversations),
+t(conv_id, i, batch, rows, longest) as (select conv_id, 1::bigint, 0::bigint, 1::bigint, length from o where i = 1 union all
+    select o.conv_id, o.i, t.batch + full_::int, case when full_ then 1 else t.rows + 1 end, case when full_ then o.length else t.longest end
+    from (select t.*, rows + 1 > 8 or (rows + 1) * longest * longest > 1500.0 * 1500.0 as full_ from t) t join o on o.conv_id = t.conv_id and o.i = t.i + 1)
+select o.conv_id, o.turn, t.batch from o join t on o.conv_id = t.conv_id and o.i = t.i""")
 def batch_pack(spark, sf_dir):
     """Conversations' turns packed into batches by length."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("length"))
@@ -597,25 +645,47 @@ def array_levels(spark, sf_dir):
     return _waves(spark, sf_dir).select("vec_id", rounded(A.rms(x), "rms"), rounded(A.peak_scale(x, 0.2), "scale"), rounded(A.rms_gain(x), "gain"), rounded(A.clipped_fraction(x, 0.15), "clipped"))
 
 
-@query(f"""with {_V}, p as (select a.vec_id, a.x as a, b.x as b, list_transform(list_zip(a.x, b.x), lambda z: z[1] - z[2]) as d from v a join v b on b.vec_id = a.vec_id + 1)
+@query(f"""with {_V}, p as (select a.vec_id, a.x as a, b.x as b, list_transform(list_zip(a.x, b.x), lambda z: z[1] - z[2]) as d from v a join v b on b.vec_id = a.vec_id + 1),
+s as (select *, list_transform(range(0, len(a)), lambda i: a[((i - 3 + len(a)) % len(a))::int + 1]) as c from p), q as (select *, list_transform(list_zip(b, c), lambda z: z[1] - z[2]) as e from s)
 select vec_id, round(list_sum(list_transform(d, lambda q: abs(q))) / len(a), 6) as l1, round(sqrt({_SQUARES.format(x='d')}) / (sqrt({_SQUARES.format(x='a')}) + 1e-12), 6) as l2,
-round(10 * log10(({_SQUARES.format(x='a')} + 1e-12) / ({_SQUARES.format(x='d')} + 1e-12)), 6) as snr from p""")
+round(case when {_SQUARES.format(x='c')} <= 1e-12 then 0.0 else 10 * log10({_SQUARES.format(x='c')} / ({_SQUARES.format(x='e')} + 1e-12)) end, 6) as snr from q""")
 def array_distances(spark, sf_dir):
     """Distances of each vector to the next."""
     a = _waves(spark, sf_dir)
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
     x, y = F.col("x"), F.col("y")
-    return a.join(b, "vec_id").select("vec_id", rounded(A.l1(x, y), "l1"), rounded(A.relative_l2(x, y), "l2"), rounded(A.waveform_snr(x, y, F.lit(0)), "snr"))
+    return a.join(b, "vec_id").select("vec_id", rounded(A.l1(x, y), "l1"), rounded(A.relative_l2(x, y), "l2"), rounded(A.waveform_snr(x, y, F.lit(3)), "snr"))
 
 
-@query()
+# Every lag's correlation as a sum of products; the later copy is turned upside down, so the correlation is negative.
+_LAGS = """m as (select vec_id, list_transform(x, lambda q: q - list_sum(x) / len(x)) as b, list_transform(range(0, len(x)), lambda i: -(x[((i - 7 + len(x)) % len(x))::int + 1] - list_sum(x) / len(x))) as a from v),
+l as (select vec_id, lag, list_sum(list_transform(range(greatest(0, -lag), least(len(a), len(a) - lag)), lambda t: b[t + 1] * a[t + lag + 1])) / (sqrt(list_sum(list_transform(a, lambda q: q * q)) * list_sum(list_transform(b, lambda q: q * q))) + 1e-12) as corr from m, range(-20, 21) g(lag))"""
+
+
+@query(f"with {_V}, {_LAGS} select vec_id, max_by(lag, abs(round(corr, 9)))::bigint as lag, round(max_by(corr, abs(round(corr, 9))), 6) as corr from l group by vec_id")
 def best_lag(spark, sf_dir):
-    """Shift and correlation of each vector and its copy, rolled by seven."""
+    """Shift and signed correlation of each vector's copy, rolled by seven and turned upside down, against the vector."""
     x = F.col("x")
-    rows = _waves(spark, sf_dir).select("vec_id", S.best_lags(x, A.rolled(x, F.lit(7)), F.lit(20)).alias("r"))
+    rows = _waves(spark, sf_dir).select("vec_id", S.best_lags(F.transform(A.rolled(x, F.lit(7)), lambda v: -v), x, F.lit(20)).alias("r"))
     return rows.select("vec_id", "r.lag", rounded("r.corr", "corr"))
 
 
+@query(f"with {_V}, {_LAGS} select vec_id, min_by(lag, (round(corr, 9), lag))::bigint as lag from l group by vec_id")
+def alignment_lag(spark, sf_dir):
+    """The lag of the highest signed correlation: of the vector against its copy, rolled by seven."""
+    x = F.col("x")
+    return _waves(spark, sf_dir).select("vec_id", S.alignment_lags(x, A.rolled(x, F.lit(7)), F.lit(20)).alias("lag"))
+
+
+_POWER = """f as (select vec_id, k, (list_sum(list_transform(range(0, len(x)), lambda t: x[t + 1] * cos(2 * pi() * k * t / len(x)))) ** 2 + list_sum(list_transform(range(0, len(x)), lambda t: x[t + 1] * sin(2 * pi() * k * t / len(x)))) ** 2) as power from v, range(0, 33) g(k))"""
+
+
+@query(f"with {_V}, {_POWER} select vec_id, round(sum(power) filter (k * 16000.0 / 64 > 3400) / (sum(power) + 1e-12), 6) as fraction from f group by vec_id")
+def high_fraction(spark, sf_dir):
+    """Energy above a frequency, of all."""
+    return _waves(spark, sf_dir).select("vec_id", rounded(S.high_fractions(F.col("x"), F.lit(16000), F.lit(3400.0)), "fraction"))
+
+
 @query()
 def hf_energy(spark, sf_dir):
     """Energy above a frequency, before and after a band-pass."""
@@ -721,11 +791,13 @@ def table_diff(spark, sf_dir):
     return R.table_diff(orders.where("o_orderpriority <> '5-LOW'"), orders.where("o_orderpriority <> '1-URGENT'").withColumn("o_orderstatus", status), "o_orderkey", ["o_custkey", "o_orderstatus"])
 
 
-@query("select turn, 'changed' as side from conversations where false")
+@query("""with a as (select turn, count(*)::bigint as rows, sum(len(text))::bigint as chars from conversations group by turn), b as (select turn, rows + (turn % 3 = 1)::int as rows, chars from a where turn > 0)
+select a.turn, case when b.turn is null then 'only_left' else 'changed' end as side from a left join b on a.turn = b.turn where b.turn is null or a.rows <> b.rows""")
 def ordered_equal(spark, sf_dir):
-    """A table against itself, dealt anew: no ordinal differs."""
+    """A table against itself without its first ordinal and with some counts raised."""
     rows = table(spark, sf_dir, "conversations").groupBy("turn").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
-    return R.ordered_differences(rows, rows.repartition(3), "turn")
+    other = rows.where("turn > 0").withColumn("rows", F.col("rows") + F.when(F.col("turn") % 3 == 1, 1).otherwise(0))
+    return R.ordered_differences(rows, other, "turn")
 
 
 @query("select 'benchmark' as dataset, item_id as id, len(text)::bigint as chars from benchmark union all select 'documents', doc_id, len(text)::bigint from documents")

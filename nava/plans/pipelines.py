@@ -132,10 +132,9 @@ def refinement_requests(segments: DataFrame, transcripts: DataFrame, chosen: Dat
     rows = rows.withColumn("book_id", book).join(books.select("book_id", "title", "description"), "book_id", "left")
     rows = rows.join(refined.select("id", F.col("text").alias("refined")), "id", "left")
     rows = rows.withColumn("session", X.session_key(F.col("source_id"), F.col("id"))).withColumn("start", F.coalesce("start_sec", F.lit(float("inf"))))
+    rows = X.context(rows, "session", ["start", "id"], "refined", F.col("refined").isNotNull(), before, 0).drop("following")
     w = Window.partitionBy("session").orderBy("start", "id")
-    history = F.collect_list("refined").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("preceding", F.slice(history, F.greatest(F.size(history) - before + 1, F.lit(1)), F.lit(before)))
-    rows = rows.withColumn("following", F.collect_list("normalized").over(w.rowsBetween(1, after)))
+    rows = rows.withColumn("following", F.collect_list("normalized").over(w.rowsBetween(1, after)) if after else F.array().cast("array<string>"))
     rows = X.waves(rows, "session", ["start", "id"])
     prompt = T.prompt(F.col("title"), F.col("description"), F.col("preceding"), F.col("normalized"), F.col("following"))
     return rows.select("id", "session", "wave", F.col("normalized").alias("target"), prompt.alias("prompt")).withColumn("fingerprint", X.input_fingerprint(F.col("id"), F.col("prompt")))
@@ -215,8 +214,7 @@ def download_plan(tracks: DataFrame, have: DataFrame, limit_bytes: int) -> DataF
     full = F.coalesce(F.col("is_full") & F.col("url").isNotNull(), F.lit(False))
     usable = F.col("url").isNotNull() & ~F.coalesce("is_sample", F.lit(False))
     rows = R.preferred_else_all(rows, ["book_id"], full, usable, ["track"])
-    rows = R.not_existing(rows, have, "url").withColumn("__key", F.col("book_id").cast("long") * 1000 + F.col("track"))
-    return R.budget_stop(rows, "__key", "bytes", limit_bytes).drop("__key")
+    return R.budget_stop(R.not_existing(rows, have, "url"), [F.col("book_id").cast("long"), F.col("track")], "bytes", limit_bytes)
 
 
 def best_audio(candidates: DataFrame) -> DataFrame:
@@ -226,12 +224,12 @@ def best_audio(candidates: DataFrame) -> DataFrame:
     return R.argmax(rows, ["page"], "url", ["bitrate", "url"])
 
 
-def evaluation(tables: dict[str, DataFrame], make: Callable, normalize: Normalizer = T.normalize_persian, most_tokens: int = 448) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Predictions, rates by dataset and overall, and skipped rows with their reason."""
+def evaluation(tables: dict[str, DataFrame], make: Callable, normalize: Normalizer = T.normalize_persian, most_tokens: int = 448, tokens: Callable[[Column], Column] = T.word_count) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predictions, rates by dataset and overall, and skipped rows with their reason. tokens counts a reference's label tokens."""
     rows = R.labelled_union(tables)
     reference = F.coalesce(normalize(F.col("sentence")), F.lit(""))
     rows = rows.withColumn("reference", reference)
-    reason = C.first_reason(("empty", (F.length(F.trim("path")) == 0) | (F.col("reference") == "")), ("too_long", T.word_count(F.col("reference")) > most_tokens))
+    reason = C.first_reason(("empty", (F.length(F.trim("path")) == 0) | (F.col("reference") == "")), ("too_long", tokens(F.col("reference")) > most_tokens))
     rows = rows.withColumn("reason", reason)
     scored = X.transcribe(rows.where("reason is null").drop("reason"), "path", make)
     scored = M.error_counts(scored.withColumn("hypothesis", F.coalesce(normalize(F.col("transcript")), F.lit(""))), F.col("reference"), F.col("hypothesis"))
@@ -243,7 +241,7 @@ def pair_validation(pairs: DataFrame, most_lag_ms: float = 20.0, no_op: float =
     """Measures and flags of clean, degraded, rate, target_bandwidth; a lag at the limit is flagged."""
     limit = F.ceil(F.col("rate") * most_lag_ms / 1000).cast("long")
     cutoff = F.when(F.col("target_bandwidth") == "narrow", 3400.0).otherwise(7000.0)
-    rows = pairs.withColumn("r", S.best_lags(F.col("clean"), F.col("degraded"), limit))
+    rows = pairs.withColumn("r", S.best_lags(F.col("degraded"), F.col("clean"), limit))
     rows = rows.withColumn("high", S.high_fractions(F.col("degraded"), F.col("rate"), cutoff)).withColumn("relative", A.relative_l2(F.col("clean"), F.col("degraded")))
     rows = rows.withColumn("snr_db", A.waveform_snr(F.col("clean"), F.col("degraded"), F.col("r.lag")))
     flags = C.flags(lag=F.abs(F.col("r.lag")) >= limit, no_op=F.col("relative") < no_op, bandwidth=F.col("high") > high_tolerance)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,10 +49,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests, one machine), a temporary one."""
+    """The folder of spark.checkpoint.dir; only where that is unset and all runs on one machine, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(context, "_nava_shared", None)
         if folder is None:
             folder = context._nava_shared = tempfile.mkdtemp(prefix="nava-shared-")
