@@ -39,3 +39,10 @@ def valid_range(first: Column, last: Column, today: Column) -> Column:
     """ISO dates, in order and not in the future."""
     a, b = F.try_to_date(first, "yyyy-MM-dd"), F.try_to_date(last, "yyyy-MM-dd")
     return F.coalesce((a <= b) & (b <= today), F.lit(False))
+
+
+def retry_after(header: Column, now: Column) -> Column:
+    """Seconds to wait by a header of whole seconds or a mail date, at least 0; null for anything else."""
+    at = rfc822(F.regexp_replace(F.trim(header), "GMT$", "+0000"))["at"]
+    wait = F.coalesce(F.trim(header).try_cast("double"), (F.unix_seconds(at) - F.unix_seconds(now)).cast("double"))
+    return F.when(wait.isNotNull(), F.greatest(wait, F.lit(0.0)))

@@ -131,7 +131,7 @@ def relative_to(path: Column, root: str) -> Column:
 def scene_of(path: Column) -> Column:
     """The folder whose name ends in _16K, without that ending; else the parent folder's name."""
     parts = F.split(path, "/")
-    named = F.element_at(F.filter(parts, lambda x: F.upper(x).endswith("_16K")), 1)
+    named = F.get(F.filter(parts, lambda x: F.upper(x).endswith("_16K")), F.lit(0))
     parent = F.when(F.size(parts) > 1, F.element_at(parts, -2))
     return F.coalesce(F.regexp_replace(named, "(?i)_16k$", ""), parent)
 
@@ -254,3 +254,11 @@ def unknown_overrides(stations: DataFrame, station: str, overrides: list[str]) -
     """Override numbers that no station has; an empty result is a pass."""
     wanted = stations.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(overrides)], f"{station} string")
     return wanted.join(stations.select(F.col(station).cast("string").alias(station)), station, "left_anti")
+
+
+def built_url(base: str, parts: list[Column], parameters: dict[str, Column]) -> Column:
+    """A URL of a base, quoted path parts and quoted parameters; spaces are quoted as in forms' successors (%20)."""
+    quoted = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    path = F.concat_ws("/", F.lit(base.rstrip("/")), *map(quoted, parts))
+    query = F.concat_ws("&", *[F.concat(F.lit(f"{k}="), quoted(v)) for k, v in parameters.items()])
+    return F.concat(path, F.lit("?"), query) if parameters else path

@@ -119,3 +119,8 @@ def codec_fits(codec: Column, path: Column) -> Column:
     """Whether a codec may stand in a channel path; unknown codecs don't."""
     needed = F.try_element_at(F.create_map(*[F.lit(x) for pair in CODEC_PATHS.items() for x in pair]), codec)
     return F.coalesce((needed == path) | (needed == "drawn"), F.lit(False))
+
+
+def unequal_reason(*pairs: tuple[str, Column]) -> Column:
+    """The name of the first condition that doesn't hold; what is unknown doesn't. Null if all hold."""
+    return first_reason(*[(name, ~F.coalesce(condition, F.lit(False))) for name, condition in pairs])

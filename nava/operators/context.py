@@ -138,3 +138,15 @@ def transcribe(df: DataFrame, path: str, make: Callable[[], Callable[[list[str]]
             yield part.assign(transcript=texts, error=errors)
 
     return df.mapInPandas(run, schema)
+
+
+def choices(requests: DataFrame, answers: DataFrame, request: str, index: str, choice: str) -> DataFrame:
+    """request, choice, problem of every request: an index answered twice, not at all, or never asked for. Only whole requests are good."""
+    asked = requests.select(request, index, F.lit(1).alias("__asked"))
+    given = answers.groupBy(request, index).agg(F.count("*").alias("__given"), F.min(choice).alias(choice))
+    rows = asked.join(given, [request, index], "full")
+    facts = rows.groupBy(request).agg(
+        F.max(F.col("__asked").isNull()).alias("__unknown"), F.max(F.col("__given").isNull()).alias("__none"), F.max(F.coalesce(F.col("__given") > 1, F.lit(False))).alias("__twice")
+    )
+    problem = first_reason(("unknown", F.col("__unknown")), ("incomplete", F.col("__none")), ("repeated", F.col("__twice")))
+    return rows.where("__asked is not null").join(facts, request).select(request, F.col(choice).cast("long").alias(choice), problem.alias("problem"))

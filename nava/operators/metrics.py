@@ -99,3 +99,8 @@ def no_leak(df: DataFrame, group: str, split: str) -> DataFrame:
 def throughput(df: DataFrame, items: str, seconds: str, *groups: str) -> DataFrame:
     """Items a second of whole groups; null where no time passed."""
     return df.groupBy(*groups).agg(F.when(F.sum(seconds) > 0, F.sum(items) / F.sum(seconds)).alias("rate"))
+
+
+def half_even(value: Column, digits: int = 0) -> Column:
+    """Rounded, halves to the even digit, by the number's shortest decimal text."""
+    return F.bround(value, digits)

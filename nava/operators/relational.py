@@ -6,12 +6,14 @@ within the part, so no operator needs all rows in one task.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nava.session import stored
+from nava.sources.files import merged
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -268,3 +270,69 @@ def lookup(df: DataFrame, name: Column, table: dict[str, dict[str, str | int]],
         pairs = [F.lit(x) for k, v in table.items() for x in (k, v[field])]
         df = df.withColumn(field, F.try_element_at(F.create_map(*pairs), name))
     return df
+
+
+def longest(df: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
+    """The longest text of each group; of equally long ones the first in order."""
+    first = F.struct(-F.length(text), F.col(order))
+    return df.groupBy(*keys).agg(F.min_by(text, first).alias(text))
+
+
+def pool_choice(df: DataFrame, pool: DataFrame, key: str, unit: Column) -> DataFrame:
+    """Adds key: one of the pool's, drawn with replacement by a number in [0, 1)."""
+    own = ordered_sum(pool.select(key), [key], F.lit(1), "__at").withColumn("__at", (F.col("__at") - 1).cast("long"))
+    n = pool.count()
+    return df.withColumn("__at", F.floor(unit * n).cast("long")).join(own, "__at").drop("__at")
+
+
+def choose_profile(df: DataFrame, unit: Column, defaults: dict, profiles: list[dict]) -> DataFrame:
+    """Adds profile, drawn by weight, and settings: JSON of the defaults with the profile's overrides merged in depth."""
+    names = [(p.get("name", "unnamed"), p.get("weight", 1.0)) for p in profiles] or [("legacy", 1.0)]
+    rows = weighted_choice(df, unit, names, "profile")
+    merged_ = {p.get("name", "unnamed"): merged(defaults, {k: v for k, v in p.items() if k not in ("name", "weight", "description")}) for p in profiles}
+    pairs = [F.lit(x) for name, _ in names for x in (name, json.dumps(merged_.get(name, defaults), sort_keys=True))]
+    return rows.withColumn("settings", F.create_map(*pairs)[F.col("profile")])
+
+
+def facts_agree(recorded: DataFrame, found: DataFrame, key: str, equal: list[str], near: dict[str, float]) -> DataFrame:
+    """key, reason: missing, or the first column in which what was found differs from what was recorded; null if all agree."""
+    other = found.select(key, F.lit(True).alias("__there"), *[F.col(c).alias(f"__{c}") for c in [*equal, *near]])
+    rows = recorded.join(other, key, "left")
+    reason = F.when(F.col("__there").isNull(), "missing")
+    for c in equal:
+        reason = reason.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), c)
+    for c, tolerance in near.items():
+        reason = reason.when(~F.coalesce(F.abs(F.col(c) - F.col(f"__{c}")) <= tolerance, F.lit(False)), c)
+    return rows.select(key, reason.alias("reason"))
+
+
+def canonical_digest(*columns: str) -> Column:
+    """SHA-256 of the columns as JSON with sorted names and without spaces; null fields are left out."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+def gate_problem(found: Column, wanted: Column, force: Column) -> Column:
+    """"refused" where stored results have another configuration's digest and nothing forces them."""
+    return F.when(found.isNotNull() & (found != wanted) & ~force, "refused")
+
+
+def expected_checksum(path: Column, state_path: Column, state_checksum: Column, manifest_path: Column, manifest_checksum: Column) -> Column:
+    """What a file should have: by the state, then by the manifest, each only if it speaks of the same path."""
+    return F.coalesce(F.when(state_path == path, state_checksum), F.when(manifest_path == path, manifest_checksum))
+
+
+def checkpoints(entries: DataFrame, keys: list[str], failed: Column) -> DataFrame:
+    """keys, done: whether none of a key's entries failed."""
+    return entries.groupBy(*keys).agg((~F.bool_or(F.coalesce(failed, F.lit(False)))).alias("done"))
+
+
+def undiscovered(work: DataFrame, state: DataFrame, key: str, status: str, done: str) -> DataFrame:
+    """Work whose key has no state of being done; failed keys come again."""
+    return work.join(state.where(F.col(status) == done).select(key).distinct(), key, "left_anti")
+
+
+def digest_mismatches(found: DataFrame, recorded: DataFrame, key: str, digest: str) -> DataFrame:
+    """key, problem: files without a recorded digest, or with another one."""
+    other = recorded.select(key, F.col(digest).alias("__digest"))
+    problem = F.when(F.col("__digest").isNull(), "missing").when(F.col("__digest") != F.col(digest), "changed")
+    return found.join(other, key, "left").select(key, problem.alias("problem")).where("problem is not null")

@@ -840,3 +840,7 @@ def incremental_snapshot(spark, sf_dir):
     source = f"{sf_dir}/events.parque[t]"
     Inc.run_available(Inc.stream_of(spark, source, schema), f"{own}/checkpoint", path=f"{own}/rows")
     return spark.read.schema(schema).parquet(f"{own}/rows").groupBy("event_type").agg(F.count("*").alias("rows"), rounded(F.sum("value"), "value", 4))
+
+
+# The other parts register themselves here.
+from nava.plans import rules, scans, sounds  # noqa: E402, F401

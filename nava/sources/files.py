@@ -289,3 +289,10 @@ def merged(defaults: dict, own: dict) -> dict:
     """own over defaults, mappings merged in depth."""
     both = {k: merged(v, own[k]) if isinstance(v, dict) and isinstance(own.get(k), dict) else own.get(k, v) for k, v in defaults.items()}
     return both | {k: v for k, v in own.items() if k not in defaults}
+
+
+def split_listing(listing_: DataFrame, root: str, content: str) -> DataFrame:
+    """Adds kind: content for files below the folder of this name in root, metadata for the others."""
+    prefix = root.rstrip("/") + "/"
+    relative = F.substr(F.col("path"), F.instr(F.col("path"), F.lit(prefix)) + F.lit(len(prefix)))
+    return listing_.withColumn("kind", F.when(F.get(F.split(relative, "/"), F.lit(0)) == content, F.lit("content")).otherwise("metadata"))
