@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from nava.functions import text as T
 from nava.operators.constraints import first_reason
+from nava.sources.files import one_value
 
 
 def session_key(source: Column, row_id: Column) -> Column:
@@ -42,7 +43,7 @@ def contract_reason(response: Column, keys: tuple[str, ...]) -> Column:
     """invalid_json, invalid_schema, or null for an object with exactly these keys."""
     found = F.array_sort(F.json_object_keys(response))
     return first_reason(
-        ("invalid_json", F.try_parse_json(response).isNull()),
+        ("invalid_json", ~one_value(response)),
         ("invalid_schema", ~F.coalesce(found == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))),
     )
 

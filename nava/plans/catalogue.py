@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,44 +17,10 @@ from nava.operators import context as X
 from nava.operators import intervals as I
 from nava.operators import metrics as M
 from nava.operators import relational as R
+from nava.plans.registry import long, oracle_sql, queries, query, rounded  # noqa: F401
 from nava.session import shared_folder, table
 from nava.streaming import incremental as Inc
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name."""
-
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql is not None:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def long(c, name: str):
-    c = F.col(c) if isinstance(c, str) else c
-    return c.cast("long").alias(name)
-
-
-def rounded(c, name: str, digits: int = 6):
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits).alias(name)
-
-
 # Text
 
 _DISCARDED = "!\"#&''(),-.:;–¬“”…«»"

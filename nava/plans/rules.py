@@ -10,20 +10,12 @@ from nava.operators import constraints as C
 from nava.operators import context as X
 from nava.operators import metrics as M
 from nava.operators import relational as R
-from nava.plans.catalogue import _UNIT, long, query, rounded
+from nava.plans.catalogue import _UNIT
+from nava.plans.registry import long, pick, query, rounded, sql_pick
 from nava.session import table
 from nava.sources import files
 
 
-def pick(key: str, *values: str):
-    """One of some texts by a key, and the same in SQL."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
-
-
-def sql_pick(key: str, *values: str) -> str:
-    return f"[{', '.join(chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in values)}][{key} % {len(values)} + 1]"
-
-
 # Constraints
 
 

@@ -65,20 +65,43 @@ def overflowing(spark: SparkSession, path: str, sep: str, key: str = "file_name"
     return body.select(name.alias(key), F.coalesce(unquoted, F.lit("")).alias(text))
 
 
+def one_value(text: Column) -> Column:
+    """Whether a text is one JSON value. Parsers stop at the end of the first one, so it is read as the only member of a list."""
+    members = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", {"allowSingleQuotes": "false"})
+    return F.coalesce(F.size(members) == 1, F.lit(False)) & F.try_parse_json(text).isNotNull()
+
+
 def json_lines(spark: SparkSession, path: str, schema: str | T.StructType, strict: bool = True) -> DataFrame:
     """JSON objects, one a line; blank lines don't count. Strict: a line that isn't such an object is an error."""
     fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     wide = T.StructType([*fields.fields, T.StructField("_corrupt_record", T.StringType())])
     lines = spark.read.text(path).where(F.trim("value") != "")
     rows = lines.select("value", F.from_json("value", wide, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"))
-    broken = F.col("j._corrupt_record").isNotNull() | ~F.trim("value").startswith("{")
+    broken = F.col("j._corrupt_record").isNotNull() | ~F.trim("value").startswith("{") | ~one_value(F.col("value"))
     if not strict:
         rows = rows.where(~broken)
-    elif bad := rows.where(broken).take(3):
-        raise SourceError(f"{path} has lines that aren't objects of this shape: {[r['value'][:80] for r in bad]}")
+    elif not rows.where(broken).isEmpty():
+        every = numbered(spark.read.text(path), "line").where(F.trim("value") != "")
+        bad = every.select("line", "value", F.from_json("value", wide, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("j")).where(broken).take(3)
+        raise SourceError(f"{path} has lines that aren't objects of this shape: {[(r['line'], r['value'][:80]) for r in bad]}")
     return rows.select(*[F.col(f"j.{f.name}").alias(f.name) for f in fields.fields])
 
 
+def mapping(spark: SparkSession, path: str, schema: str, defaults: dict[str, str], split: str | None = None) -> DataFrame:
+    """JSON lines whose fields have defaults; with a split, only its rows. A line without a field, or with null, has the default."""
+    rows = json_lines(spark, path, schema)
+    rows = rows.select(*[F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in rows.columns])
+    return rows.where(F.col("split") == split) if split is not None else rows
+
+
+def required(rows: DataFrame, *fields: str) -> DataFrame:
+    """rows, if each has all fields; else an error with the first that lack some."""
+    missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in fields]))
+    if bad := rows.where(F.size(missing) > 0).select(missing.alias("missing"), F.to_json(F.struct(*rows.columns)).alias("row")).take(3):
+        raise SourceError(f"rows lack fields: {[(r['missing'], r['row'][:80]) for r in bad]}")
+    return rows
+
+
 def pattern_lines(spark: SparkSession, path: str, pattern: str = r'^\s*"([^"]+)"\s+"(.*)"\s*$', names: tuple[str, ...] = ("path", "sentence")) -> DataFrame:
     """One row a line by a pattern's groups; other lines than blank ones that don't match are an error."""
     lines = spark.read.text(path).where(F.trim("value") != "")
