@@ -5,7 +5,7 @@ Sums run over the array in order, so results repeat exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def doubles(x: Column) -> Column:
@@ -170,3 +170,22 @@ def tensor_stats(x: Column) -> Column:
         (F.size(good) / F.size(x)).alias("finite"), F.array_min(good).alias("least"), F.array_max(good).alias("most"),
         (total(good) / F.size(good)).alias("mean"), peak(good).alias("peak"),
     )
+
+
+def crop(x: Column, width: int, unit: Column) -> Column:
+    """width items from a start drawn by a number in [0, 1); arrays that aren't longer stay whole."""
+    start = F.floor(unit * (F.size(x) - width + 1)).cast("int")
+    return F.when(F.size(x) <= width, x).otherwise(F.slice(x, F.greatest(start, F.lit(0)) + 1, F.lit(width)))
+
+
+def drop_frames(x: Column, lost: Column, frame: int) -> Column:
+    """Frames that a mask names are silent; a mask that is too short loses nothing behind its end."""
+    return F.transform(x, lambda v, i: F.when(F.coalesce(F.get(lost, F.floor(i / frame).cast("int")), F.lit(False)), 0.0).otherwise(v))
+
+
+def collated(df: DataFrame, batch: str, column: str, pad: float | int) -> DataFrame:
+    """Arrays padded on the right to the longest of their batch, and valid: the number of their own items."""
+    most = F.max(F.size(column)).over(Window.partitionBy(batch))
+    rows = df.withColumn("valid", F.size(column)).withColumn("__most", most)
+    fill = F.array_repeat(F.lit(pad), F.col("__most") - F.col("valid"))
+    return rows.withColumn(column, F.concat(column, fill)).drop("__most")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nava.operators.constraints import CODEC_PATHS
+from nava.sources.files import merged
+
 #: Types as objects: workers import this module, and there type names can't be parsed.
 LONG, DOUBLE, DOUBLES = T.LongType(), T.DoubleType(), T.ArrayType(T.DoubleType())
 LAG = T.StructType([T.StructField("lag", LONG), T.StructField("corr", DOUBLE)])
@@ -163,21 +167,133 @@ def drop_frames(x: np.ndarray, lost: np.ndarray, frame: int) -> tuple[np.ndarray
     return out, float(lost.mean()) if len(lost) else 0.0
 
 
-def log_mel(x: np.ndarray, rate: int = 16000, bands: int = 80, size: int = 400, hop: int = 160) -> np.ndarray:
-    """bands x frames log-mel magnitudes."""
-    x = np.pad(np.asarray(x, float), size // 2, mode="reflect" if len(x) > size // 2 else "constant")
-    windows = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
-    power = np.abs(np.fft.rfft(windows * np.hanning(size + 1)[:-1], axis=1)) ** 2
+def mel_filters(rate: int, bands: int, size: int) -> np.ndarray:
+    """bands x bins triangles of equal area, evenly spaced in mel."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
     edges = 700 * (10 ** (np.linspace(mel(0), mel(rate / 2), bands + 2) / 2595) - 1)
     f = np.fft.rfftfreq(size, 1 / rate)
     up = (f[None] - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
     down = (edges[2:, None] - f[None]) / (edges[2:] - edges[1:-1])[:, None]
-    filters = np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
-    out = np.log10(np.maximum(filters @ power.T, 1e-10))
+    return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
+
+
+def log_mel(x: np.ndarray, rate: int = 16000, bands: int = 80, size: int = 400, hop: int = 160, frames: int | None = None) -> np.ndarray:
+    """bands x frames log-mel magnitudes; with a number of frames, the signal is cut or padded to it."""
+    x = np.asarray(x, float)
+    if frames is not None:
+        x = np.pad(x[: frames * hop], (0, max(0, frames * hop - len(x))))
+    x = np.pad(x, size // 2, mode="reflect" if len(x) > size // 2 else "constant")
+    windows = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
+    power = np.abs(np.fft.rfft(windows * np.hanning(size + 1)[:-1], axis=1)) ** 2
+    power = power[:frames] if frames is not None else power
+    out = np.log10(np.maximum(mel_filters(rate, bands, size) @ power.T, 1e-10))
     return (np.maximum(out, out.max() - 8) + 4) / 4
 
 
+def normalized_mel(x: np.ndarray, rate: int = 16000, bands: int = 80, size: int = 512, window: int = 400, hop: int = 160, emphasis: float = 0.97) -> np.ndarray:
+    """bands x frames natural-log mel powers of the emphasized signal, each band with mean 0 and deviation 1 over the frames."""
+    x = np.asarray(x, float)
+    x = np.concatenate([x[:1], x[1:] - emphasis * x[:-1]])
+    shape = np.zeros(size)
+    at = (size - window) // 2
+    shape[at : at + window] = np.hanning(window)
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, size // 2), size)[::hop]
+    power = np.abs(np.fft.rfft(windows * shape, axis=1)) ** 2
+    out = np.log(mel_filters(rate, bands, size) @ power.T + 2.0**-24)[:, : max(1, len(x) // hop)]
+    deviation = out.std(1, ddof=1, keepdims=True) if out.shape[1] > 1 else 0.0
+    return (out - out.mean(1, keepdims=True)) / (deviation + 1e-5)
+
+
+def aligned_target(clean: np.ndarray, rate: int, length: int, model_rate: int = 16000, band: tuple[float, float] | None = None, channel_rate: int | None = None, scale: float | None = None) -> np.ndarray:
+    """The clean target as the channel could have carried it: through the channel's rate and band where these are given, cut or padded
+    to the degraded length, at the pair's scale."""
+    x = np.asarray(clean, float)
+    if band is not None and channel_rate is not None:
+        x = resample(bandpass(resample(x, rate, channel_rate), channel_rate, *band), channel_rate, model_rate)
+    else:
+        x = resample(x, rate, model_rate)
+    x = np.pad(x[:length], (0, max(0, length - len(x))))
+    return x if scale is None else x * scale
+
+
+#: What a codec does to samples at its channel's rate; others are given by the caller.
+Codec = Callable[[np.ndarray, int], np.ndarray]
+
+
+def drawn(random: np.random.Generator, choices: list[dict]) -> dict:
+    """One of some entries by their weights."""
+    weights = np.array([max(0.0, float(c.get("weight", 1.0))) for c in choices])
+    return choices[min(int(np.searchsorted(np.cumsum(weights) / weights.sum(), random.random(), side="right")), len(choices) - 1)]
+
+
+def degrade_item(x: np.ndarray, rate: int, seed: int, config: dict, noises: list[dict], codecs: dict[str, Codec] | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
+    """degraded, target and facts of one variant by a configuration.
+
+    One generator gives all draws in this order: profile, noise (drawn whether or not there are noises), scenes, level bucket and level,
+    assets and their offsets, gain, clipping, codec, path, network, loss bucket and rate, burst, mask. A noise has id, scene, samples, rate.
+    """
+    known = {"g711_alaw": lambda y, _: a_law(y), "g711_mulaw": lambda y, _: mu_law(y), "pass_through": lambda y, _: y} | (codecs or {})
+    random = np.random.default_rng(seed)
+    profile = drawn(random, config.get("profiles") or [{"name": "legacy"}])
+    own = merged({k: v for k, v in config.items() if k != "profiles"}, {k: v for k, v in profile.items() if k not in ("name", "weight", "description")})
+    model = int(own.get("model_sample_rate", 16000))
+    clean = resample(np.asarray(x, float), rate, model)
+    out = clean.copy()
+    facts: dict = {"seed": seed, "profile": profile.get("name", "unnamed"), "noise_ids": [], "noise_scenes": [], "snr_db": None}
+    noise, uniform = own["noise"], lambda bounds: float(random.uniform(*bounds))
+    if random.random() < noise["probability"] and noises:
+        count = 2 if random.random() < noise.get("second_scene_probability", 0.0) else 1
+        facts["snr_db"] = uniform(noise["snr_buckets"][int(random.integers(len(noise["snr_buckets"])))])
+        mixed = np.zeros(len(out))
+        for _ in range(count):
+            asset = noises[int(random.integers(len(noises)))]
+            wave = resample(np.asarray(asset["samples"], float), asset["rate"], model)
+            start = int(random.integers(0, len(wave) - len(out) + 1)) if len(wave) > len(out) else 0
+            mixed += np.resize(wave[start:], len(out)) if len(wave) else 0.0
+            facts["noise_ids"].append(asset["id"])
+            facts["noise_scenes"].append(asset.get("scene", asset["id"]))
+        level = lambda y: np.sqrt(np.mean(y**2) + 1e-12) if len(y) else 0.0
+        if len(out) and np.any(mixed):
+            out = out + mixed * (level(out) / level(mixed) / 10 ** (facts["snr_db"] / 20))
+    facts["gain_db"] = uniform(own["level"]["gain_db"])
+    out = out * 10 ** (facts["gain_db"] / 20)
+    clipping = own["level"].get("clipping", {})
+    facts["clipped_fraction"] = facts["clip_level"] = None
+    if clipping.get("enabled") and random.random() < clipping.get("probability", 0.0):
+        facts["clip_level"] = limit = uniform(clipping.get("threshold", (0.8, 0.98)))
+        facts["clipped_fraction"] = float(np.mean(np.abs(out) > limit)) if len(out) else 0.0
+        out = np.clip(out, -limit, limit)
+    facts["codec"] = codec = drawn(random, own["codec_distribution"])["codec"]
+    path = CODEC_PATHS.get(codec, "drawn")
+    facts["channel_path"] = path = drawn(random, own["channel"].get("paths", [{"path": "wide"}]))["path"] if path == "drawn" else path
+    low, high, channel = BANDS[path]
+    facts["channel_sample_rate"], facts["channel_bandpass_hz"] = channel, (low, high)
+    if codec not in known:
+        raise ValueError(f"no codec {codec} is given")
+    network = own.get("network_impairment", {})
+    lossy = bool(network.get("enabled", True)) and random.random() < network.get("probability", 0.0)
+    wave = bandpass(resample(out, model, channel), channel, low, high)
+    peak = np.abs(wave).max() if len(wave) else 0.0
+    facts["guard_scale"] = guard = 0.99 / peak if peak > 0.99 else 1.0
+    wave = known[codec](wave * guard, channel)
+    facts["observed_loss"] = 0.0
+    if lossy:
+        rates = network["loss_rate_buckets"]
+        loss = uniform(rates[int(random.integers(len(rates)))])
+        burst = int(random.integers(network["burst_length"][0], network["burst_length"][1] + 1))
+        frame = max(1, channel * int(network.get("frame_ms", 20)) // 1000)
+        wave, facts["observed_loss"] = drop_frames(wave, burst_mask(-(-len(wave) // frame), loss, burst, random), frame)
+    out = resample(wave, channel, model)
+    out = np.pad(out[: len(clean)], (0, max(0, len(clean) - len(out))))
+    most = int(own.get("max_alignment_samples", 0))
+    facts["lag"] = lag = alignment_lag(clean, out, most) if most and len(clean) else 0
+    out = np.concatenate([out[lag:], np.zeros(lag)]) if lag > 0 else np.concatenate([np.zeros(-lag), out[: len(out) + lag]])
+    target = aligned_target(x, rate, len(out), model, (low, high), channel)
+    peak = max((np.abs(y).max() for y in (out, target) if len(y)), default=0.0)
+    facts["normalization_scale"] = scale = float(own.get("pair_peak", 0.5)) / peak if peak > float(own.get("pair_peak", 0.5)) else 1.0
+    return out * scale, target * scale, facts
+
+
 #: Codecs of each channel path and the drawn ones' weights.
 CODECS = (("g711_alaw", "narrow"), ("g711_mulaw", "narrow"), ("pass_through", "wide"))
 BANDS = {"narrow": (300.0, 3400.0, 8000), "wide": (50.0, 7000.0, 16000)}

@@ -261,3 +261,7 @@ def release_splits(rows: DataFrame, group: Column, seed: str, shares: dict[str,
     marked = rows.withColumn("reason", C.first_reason(*gates))
     return R.stable_split(marked.where("reason is null").drop("reason"), group, seed, shares), marked.where("reason is not null")
 
+
+def identical_views(column: str) -> tuple[Column, Column]:
+    """noisy and clean of rows that were never degraded."""
+    return F.col(column).alias("noisy"), F.col(column).alias("clean")

@@ -8,17 +8,18 @@ from __future__ import annotations
 import io
 import re
 import tarfile
-import wave
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nava.sources import audio
+from nava.sources.audio import wav_bytes, wav_facts, wav_samples  # noqa: F401
+
 
 class SourceError(ValueError):
     """An input isn't as its format says."""
@@ -239,62 +240,40 @@ def feed_items(feeds: DataFrame, url: str, payload: str, most: int) -> DataFrame
     return rows.withColumn("__row", order).where(F.col("__row") <= most).drop("__row")
 
 
-def wav_facts(content: bytes) -> tuple[int, int, int, float] | None:
-    """Rate, channels, frames, seconds of PCM audio; None for anything else."""
-    try:
-        with wave.open(io.BytesIO(content)) as audio:
-            return audio.getframerate(), audio.getnchannels(), audio.getnframes(), audio.getnframes() / audio.getframerate()
-    except (wave.Error, EOFError, ZeroDivisionError):
-        return None
-
-
-def wav_samples(content: bytes) -> tuple[int, np.ndarray]:
-    """Rate and mono samples in [-1, 1)."""
-    with wave.open(io.BytesIO(content)) as audio:
-        width, channels, rate = audio.getsampwidth(), audio.getnchannels(), audio.getframerate()
-        raw = audio.readframes(audio.getnframes())
-    if width == 1:
-        data = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
-    elif width == 3:
-        data = (np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([1, 256, 65536]) + 2**23) % 2**24 / 2**23 - 1
-    else:
-        data = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(float) / 2 ** (8 * width - 1)
-    return rate, data.reshape(-1, channels).mean(1)
-
-
-def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
-    """Mono 16-bit PCM."""
-    out = io.BytesIO()
-    with wave.open(out, "wb") as audio:
-        audio.setnchannels(1)
-        audio.setsampwidth(2)
-        audio.setframerate(rate)
-        audio.writeframes((np.clip(samples, -1, 1) * 32767).round().astype("<i2").tobytes())
-    return out.getvalue()
-
-
-def audio_facts(spark: SparkSession, path: str) -> DataFrame:
-    """path, rate, channels, frames, seconds, error of audio files."""
+def facts_of(contents: DataFrame) -> DataFrame:
+    """path, rate, channels, frames, seconds, error from path and content."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            facts = [wav_facts(c) for c in part["content"]]
+            facts = [audio.facts(c) for c in part["content"]]
             frame = pd.DataFrame([f or (None, None, None, None) for f in facts], columns=["rate", "channels", "frames", "seconds"]).astype({"rate": "Int64", "channels": "Int64", "frames": "Int64", "seconds": float})
             frame.insert(0, "path", part["path"].to_numpy())
             yield frame.assign(error=["invalid_audio" if f is None else None for f in facts])
 
-    return _contents(spark, path).mapInPandas(run, "path string, rate long, channels long, frames long, seconds double, error string")
+    return contents.select("path", "content").mapInPandas(run, "path string, rate long, channels long, frames long, seconds double, error string")
 
 
-def audio_samples(spark: SparkSession, path: str) -> DataFrame:
-    """path, rate, samples of readable audio files."""
+def samples_of(contents: DataFrame) -> DataFrame:
+    """path, rate, samples (mono) of readable audio, from path and content."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(p, *wav_samples(c)) for p, c in zip(part["path"], part["content"]) if wav_facts(c)]
-            yield pd.DataFrame(rows, columns=["path", "rate", "samples"])
+            for path, content in zip(part["path"], part["content"]):
+                if audio.facts(content):
+                    rate, samples = audio.samples(content)
+                    yield pd.DataFrame({"path": [path], "rate": [rate], "samples": [samples]})
+
+    return contents.select("path", "content").mapInPandas(run, "path string, rate long, samples array<double>")
 
-    return _contents(spark, path).mapInPandas(run, "path string, rate long, samples array<double>")
+
+def audio_facts(spark: SparkSession, path: str) -> DataFrame:
+    """path, rate, channels, frames, seconds, error of audio files."""
+    return facts_of(_contents(spark, path))
+
+
+def audio_samples(spark: SparkSession, path: str) -> DataFrame:
+    """path, rate, samples of readable audio files."""
+    return samples_of(_contents(spark, path))
 
 
 def dotenv(text: str) -> dict[str, str]:
