@@ -121,3 +121,38 @@ def audio_candidates(page: Column) -> Column:
     listed = F.flatten(F.transform(tags, lambda t: F.coalesce(F.from_json(basic_unescape(F.regexp_extract(t, r"(?is)data-sources=[\"']([^\"']*)[\"']", 1)), "array<struct<src:string,label:string>>"), F.array().cast("array<struct<src:string,label:string>>"))))
     plain = F.transform(tags, lambda t: F.struct(F.nullif(F.regexp_extract(t, r"(?i)\bsrc=[\"']([^\"']+)", 1), F.lit("")).alias("src"), F.lit(None).cast("string").alias("label")))
     return F.filter(F.concat(listed, plain), lambda x: x["src"].isNotNull())
+
+
+#: Roles of the people that a page names.
+ROLES = r"(تهیه\s*کننده|تهیه‌کننده|گوینده|کارشناس|مهمان|مجری|سردبیر|نویسنده)"
+
+
+def _described(page: Column) -> Column:
+    """The longest of a page's descriptions, of equally long ones the first; "" without one."""
+    found = F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<p\b[^>]*itemprop=[\"']description[\"'][^>]*>(.*?)</p>"), F.lit(1)), strip_tags)
+    ordered = F.array_sort(F.transform(found, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t"))))
+    return F.coalesce(F.get(ordered, F.lit(0))["t"], F.lit(""))
+
+
+def _heading(page: Column) -> Column:
+    return F.nullif(strip_tags(F.regexp_extract(page, r"(?is)<h1\b[^>]*itemprop=[\"']name[\"'][^>]*>(.*?)</h1>", 1)), F.lit(""))
+
+
+def program_page(page: Column) -> Column:
+    """struct(title, description): the named heading, else the page's title; the longest description."""
+    return F.struct(F.coalesce(_heading(page), element_text(page, "title"), F.lit("")).alias("title"), _described(page).alias("description"))
+
+
+def archive_page(page: Column, title: Column) -> Column:
+    """struct(title, program_id, program_url, mp3_url, description, people): the entry's title stands in for a missing heading."""
+    program = r"""(?i)href=["']([^"']*/Program/\?[^"']*\bm=(\d+)[^"']*)["']"""
+    part = lambda k: F.nullif(F.regexp_extract(page, program, k), F.lit(""))
+    pattern = ROLES + r"\s*:?\s*(?:</?[^>]*>)?\s*([^<]{2,200})"
+    named = F.transform(
+        F.regexp_extract_all(page, F.lit(f"(?i)({pattern})"), F.lit(1)),
+        lambda t: F.concat(T.squeeze(F.regexp_extract(t, pattern, 1)), F.lit(": "), T.squeeze(basic_unescape(F.regexp_extract(t, pattern, 2)))),
+    )
+    return F.struct(
+        F.coalesce(_heading(page), title).alias("title"), part(2).alias("program_id"), basic_unescape(part(1)).alias("program_url"),
+        basic_unescape(download_link(page, "mp3")["url"]).alias("mp3_url"), _described(page).alias("description"), F.array_join(F.array_distinct(named), " | ").alias("people"),
+    )

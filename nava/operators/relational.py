@@ -116,10 +116,18 @@ def budget_stop(df: DataFrame, keys: str | list[str | Column], value: str, limit
     return ordered_sum(df, keys if isinstance(keys, list) else [keys], value).where(F.col("running") <= limit)
 
 
+def positions(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds the row's place from 0 in its group's order; a group of any size is dealt to many tasks."""
+    rows = ordered_sum(df, [*group, *order], F.lit(1), "__running")
+    starts = rows.groupBy(*group).agg(F.min("__running").alias("__first"))
+    starts = starts.select(*[F.col(g).alias(f"__start.{g}") for g in group], "__first")
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"`__start.{g}`")) for g in group])
+    return rows.join(starts, same).withColumn(name, (F.col("__running") - F.col("__first")).cast("long")).select(*df.columns, name)
+
+
 def cohorts(df: DataFrame, order: list[str], size: int, group: list[str]) -> DataFrame:
     """Fixed-size batches in arrival order within groups."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("cohort", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return positions(df, group, order, "__at").withColumn("cohort", F.floor(F.col("__at") / size).cast("long")).drop("__at")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:

@@ -19,6 +19,8 @@ from nava.operators import context as X
 from nava.operators import intervals as I
 from nava.operators import metrics as M
 from nava.operators import relational as R
+from nava.session import stored
+from nava.sources.files import resolve_paths
 
 Normalizer = Callable[[Column], Column]
 
@@ -157,25 +159,38 @@ def degraded_dataset(clips: DataFrame, variants: int, seed: int, noise: np.ndarr
     return rows.mapInPandas(run, kinds).withColumn("degraded_id", T.pair_id(F.col("split"), T.stem(F.col("path")), F.col("variant")))
 
 
-def long_variants(clips: DataFrame, per_group: int, seed: str, least: int = 2, most: int = 4, gap: float = 0.2, target: float = 5.0, cap: float = 20.0) -> DataFrame:
+def long_variants(clips: DataFrame, per_group: int, seed: str, least: int = 2, most: int = 4, gap: float = 0.2, target: float = 5.0, cap: float = 20.0, draws: int = 64) -> DataFrame:
     """split, variant, paths, sentence, seconds: seeded concatenations within a split.
 
-    A variant takes clips in seeded order while it has fewer than `most` and stays within the cap, until it has `least` and the target.
+    A variant takes clips in seeded order, each once, while it has fewer than `most` and stays within the cap, until it has `least` and the
+    target. It first draws `draws` places of its split's clips, so variants times draws rows are joined, not variants times clips; a
+    variant that these don't complete goes on through all clips of its split.
     """
-    rows = clips.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(per_group - 1))))
-    rows = rows.withColumn("unit", R.hash_unit(seed, F.col("split"), F.col("variant"), F.col("path")))
-    picked = R.top_k(rows, ["split", "variant"], [F.col("unit"), F.col("path")], max(8 * most, 16))  # a bounded number of draws
-    lists = picked.groupBy("split", "variant").agg(F.array_sort(F.collect_list(F.struct("unit", "path", "sentence", "seconds"))).alias("items"))
-    start = F.struct(F.array().cast("array<string>").alias("paths"), F.array().cast("array<string>").alias("texts"), F.lit(0.0).alias("seconds"))
-
-    def take(s: Column, x: Column) -> Column:
-        n = F.size(s["paths"])
-        longer = s["seconds"] + x["seconds"] + F.when(n > 0, gap).otherwise(0.0)
-        full = (n >= most) | ((n >= least) & (s["seconds"] >= target)) | (longer > cap)
-        more = F.struct(F.array_append(s["paths"], x["path"]).alias("paths"), F.array_append(s["texts"], x["sentence"]).alias("texts"), longer.alias("seconds"))
-        return F.when(full, s).otherwise(more)
-
-    out = lists.withColumn("v", F.aggregate("items", start, take)).where(F.size("v.paths") >= least)
+    own = clips.select("split", "path", "sentence", "seconds").withColumn("__order", F.sha2(F.concat_ws("|", F.lit(seed), "path"), 256))
+    placed = stored(R.positions(own, ["split"], ["__order", "path"], "__at"), "variant-clips")
+    sizes = placed.groupBy("split").agg(F.count("*").alias("__n"))
+    wanted = sizes.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(per_group - 1))))
+    drawn = wanted.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    drawn = drawn.withColumn("__at", F.floor(R.hash_unit(seed, F.col("split"), F.col("variant"), F.col("draw")) * F.col("__n")).cast("long"))
+    item = F.struct("draw", "path", "sentence", "seconds")
+    lists = drawn.join(placed, ["split", "__at"]).groupBy("split", "variant").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def complete(v: Column) -> Column:
+        return (F.size(v["paths"]) >= most) | ((F.size(v["paths"]) >= least) & (v["seconds"] >= target))
+
+    def take(v: Column, x: Column) -> Column:
+        longer = v["seconds"] + x["seconds"] + F.when(F.size(v["paths"]) > 0, gap).otherwise(0.0)
+        more = F.struct(F.array_append(v["paths"], x["path"]).alias("paths"), F.array_append(v["texts"], x["sentence"]).alias("texts"), longer.alias("seconds"))
+        return F.when(complete(v) | (longer > cap) | F.array_contains(v["paths"], x["path"]), v).otherwise(more)
+
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("paths"), none.alias("texts"), F.lit(0.0).alias("seconds"))
+    first = stored(lists.select("split", "variant", F.aggregate("items", start, take).alias("v")), "variant-draws")
+    done = complete(F.col("v"))
+    # What is open goes on through its split's clips in order; one variant's clips fit a row, as a variant reads them as one list.
+    rest = first.where(~done).join(placed, "split").groupBy("split", "variant", "v").agg(F.array_sort(F.collect_list(F.struct(F.col("__at").alias("draw"), "path", "sentence", "seconds"))).alias("items"))
+    rest = rest.select("split", "variant", F.aggregate("items", F.col("v"), take).alias("v"))
+    out = first.where(done).unionByName(rest).where(F.size("v.paths") >= least)
     return out.select("split", "variant", F.col("v.paths").alias("paths"), T.squeeze(F.array_join("v.texts", " ")).alias("sentence"), F.col("v.seconds").alias("seconds"))
 
 
@@ -265,3 +280,20 @@ def release_splits(rows: DataFrame, group: Column, seed: str, shares: dict[str,
 def identical_views(column: str) -> tuple[Column, Column]:
     """noisy and clean of rows that were never degraded."""
     return F.col(column).alias("noisy"), F.col(column).alias("clean")
+
+
+def evaluation_set(rows: DataFrame, listing: DataFrame, normalize: Normalizer = T.normalize_persian) -> Prepared:
+    """path, sentence of one evaluation set's transcripts: audio by name, else by stem; rejected sentences stay as plain text.
+
+    Rows without audio or text are counted and left out; two rows of one file are an error.
+    """
+    found = resolve_paths(rows.select("path", F.col("sentence").alias("raw")), listing, "path")
+    found = found.withColumn("normalized", normalize(F.col("raw")))
+    found = found.withColumn("sentence", F.nullif(T.with_fallback(F.col("raw"), F.col("normalized"), F.lit(True)), F.lit("")))
+    audit = M.audit(
+        found, source=F.lit(True), missing_audio=F.col("found").isNull(), empty=F.col("sentence").isNull(), fallback=F.col("normalized").isNull() & F.col("sentence").isNotNull(),
+        final=F.col("found").isNotNull() & F.col("sentence").isNotNull(),
+    )
+    good = found.where("found is not null and sentence is not null")
+    C.require(C.duplicates(good, "found"), "a file has two transcripts")
+    return Prepared(good.select(F.col("found").alias("path"), "sentence"), audit)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from nava.functions import html as H
 from nava.functions import text as T
 from nava.plans import pipelines as P
-from nava.plans.catalogue import _PLAIN, _UNIT, _latin
+from nava.plans.catalogue import _PLAIN, _STRIP, _UNIT, _latin
 from nava.plans.registry import long, pick, query, sql_pick
 from nava.session import shared_folder, table
 from nava.sources import files, sinks
@@ -371,3 +371,46 @@ def streamed_context(spark, sf_dir):
     turn = lambda c: F.get_json_object(c, "$.turn").cast("long")
     text = lambda c: F.get_json_object(c, "$.text")
     return found.select("conv_id", turn(F.col("text")).alias("turn"), text(F.col("text")).alias("text"), F.transform("preceding", text).alias("preceding"))
+
+
+@query("""select doc_id, case when doc_id % 2 = 0 then 'Heading ' || doc_id else 'entry ' || lang end as title, (doc_id % 50)::varchar as program_id, 'http://h/Program/?a=1&m=' || (doc_id % 50) as program_url, 'http://h/' || doc_id || '.mp3' as mp3_url,
+case when doc_id % 3 = 0 then 'longer words & ' || source else 'short' end as description, 'گوینده: ' || lang || ' | مجری: xy' as people from documents where source is not null""")
+def archive_pages(spark, sf_dir):
+    """An episode's heading, program, audio, longest description and people."""
+    key = F.col("doc_id").cast("string")
+    page = F.concat(
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<h1 itemprop='name'> Heading <i>"), key, F.lit("</i></h1>"))).otherwise("<h1>no name</h1>"),
+        F.lit("<a href='http://h/Program/?a=1&amp;m="), (F.col("doc_id") % 50).cast("string"), F.lit("'>p</a><a href='x.ogg'>ogg</a><a href='http://h/"), key, F.lit(".mp3'>MP3</a><p itemprop='description'>short</p>"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('<p class=a itemprop="description">longer <b>words</b> &amp; '), F.col("source"), F.lit("</p>"))).otherwise(""),
+        F.lit("<li>گوینده : "), F.col("lang"), F.lit("</li><li>گوینده: "), F.col("lang"), F.lit("</li><li><b>مجری</b> xy</li>"),
+    )
+    rows = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", H.archive_page(page, F.concat(F.lit("entry "), "lang")).alias("p"))
+    return rows.select("doc_id", "p.*")
+
+
+@query(f"select page_id, {_STRIP.format(x='''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')} as title, '' as description from pages")
+def program_pages(spark, sf_dir):
+    """A program's title and description; these pages have no named heading and no description."""
+    return table(spark, sf_dir, "pages").select("page_id", H.program_page(F.col("html")).alias("p")).select("page_id", "p.title", "p.description")
+
+
+@query(f"""with r as (select doc_id, {_latin('text')} as n, {_PLAIN.format(t='text')} as plain from documents) select 'audio/' || doc_id || case when doc_id % 2 = 0 then '.wav' else '.flac' end as path, coalesce(n, plain) as sentence from r where doc_id % 5 <> 0 and coalesce(n, plain) <> ''""")
+def evaluation_sets(spark, sf_dir):
+    """Transcripts with their audio by name, else by stem; rejected sentences as plain text."""
+    docs = table(spark, sf_dir, "documents")
+    key = F.col("doc_id").cast("string")
+    listing = docs.where("doc_id % 5 <> 0").select(F.concat(F.lit("audio/"), key, F.when(F.col("doc_id") % 2 == 0, ".wav").otherwise(".flac")).alias("path"))
+    return P.evaluation_set(docs.select(F.concat(key, F.lit(".wav")).alias("path"), F.col("text").alias("sentence")), listing, T.normalize_latin).rows
+
+
+@query("select n, path, kind from (values (0, 'a', 'degraded'), (1, 'b', 'clean'), (2, 'c', 'other'), (3, 'd', 'degraded')) t(n, path, kind)")
+def dataset_lists(spark, sf_dir):
+    """Entries of a configuration's dataset list: kinds given, or found in the folders."""
+    from nava.sources import configs
+
+    at = _folder(spark, "datasets")
+    for name in ("a/degraded_to_clean.jsonl", "b/dev.tsv", "d/train.tsv", "d/degraded_to_clean.jsonl"):
+        sinks.document(spark, {}, f"{at}/{name}")
+    sinks.document(spark, {"datasets": [f"{at}/a", f" {at}/b ", {"path": f"{at}/c", "kind": " other "}, {"path": f"{at}/d"}]}, f"{at}/config.json")
+    found = configs.datasets(spark, configs.load(spark, f"{at}/config.json", {"batch": 8}))
+    return spark.createDataFrame([(n, path.rsplit("/", 1)[1], kind) for n, (path, kind) in enumerate(found)], "n int, path string, kind string")

@@ -9,7 +9,7 @@ import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -147,25 +147,41 @@ def unsafe_member(name: str) -> bool:
     return name.startswith(("/", "\\")) or ".." in name.replace("\\", "/").split("/")
 
 
-def archive_members(spark: SparkSession, path: str, pattern: str = "") -> DataFrame:
-    """archive, member, content of tar and zip archives; members whose path leaves the archive are an error."""
+def open_uri(uri: str):
+    """A file opened for reading where the task runs, through Arrow's file systems (local, HDFS, S3, GCS)."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    return system.open_input_file(path)
+
+
+def archive_members(spark: SparkSession, path: str, pattern: str = "", opened: Callable[[str], io.IOBase] = open_uri) -> DataFrame:
+    """archive, member, content of tar and zip archives; members whose path leaves the archive are an error.
+
+    Archives are listed by Spark and read as streams where the task runs, a member at a time, so their size doesn't matter. `opened`
+    reads from a store that Arrow doesn't know.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for archive, content in zip(part["path"], part["content"]):
-                if zipfile.is_zipfile(io.BytesIO(content)):
-                    opened = zipfile.ZipFile(io.BytesIO(content))
-                    members = ((i.filename, lambda i=i: opened.read(i)) for i in opened.infolist() if not i.is_dir())
-                else:
-                    opened = tarfile.open(fileobj=io.BytesIO(content))
-                    members = ((m.name, lambda m=m: opened.extractfile(m).read()) for m in opened if m.isfile())
-                for name, read in members:
-                    if unsafe_member(name):
-                        raise SourceError(f"{archive} holds {name}")
-                    if re.search(pattern, name):
-                        yield pd.DataFrame({"archive": [archive], "member": [name], "content": [read()]})
-
-    return _contents(spark, path).mapInPandas(run, "archive string, member string, content binary")
+            for archive in part["path"]:
+                with opened(archive) as file:
+                    if file.read(4)[:2] == b"PK":
+                        file.seek(0)
+                        book = zipfile.ZipFile(file)
+                        members = ((i.filename, lambda i=i: book.read(i)) for i in book.infolist() if not i.is_dir())
+                    else:
+                        file.seek(0)
+                        tar = tarfile.open(fileobj=file, mode="r|*")
+                        members = ((m.name, lambda m=m: tar.extractfile(m).read()) for m in tar if m.isfile())
+                    for name, read in members:
+                        if unsafe_member(name):
+                            raise SourceError(f"{archive} holds {name}")
+                        if re.search(pattern, name):
+                            yield pd.DataFrame({"archive": [archive], "member": [name], "content": [read()]})
+
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return paths.repartition("path").mapInPandas(run, "archive string, member string, content binary")
 
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
