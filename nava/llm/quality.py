@@ -35,7 +35,7 @@ TRAIN_DOCS = 1500
 TRAIN_CHUNKS = 16_000
 EPOCHS = 8
 #: Bytes that one pass of the network takes.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
