@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from nava.functions import html as H
@@ -414,3 +419,83 @@ def dataset_lists(spark, sf_dir):
     sinks.document(spark, {"datasets": [f"{at}/a", f" {at}/b ", {"path": f"{at}/c", "kind": " other "}, {"path": f"{at}/d"}]}, f"{at}/config.json")
     found = configs.datasets(spark, configs.load(spark, f"{at}/config.json", {"batch": 8}))
     return spark.createDataFrame([(n, path.rsplit("/", 1)[1], kind) for n, (path, kind) in enumerate(found)], "n int, path string, kind string")
+
+
+def _written(rows, folder: str) -> None:
+    """Names and contents as files below a folder, by the tasks."""
+
+    def write(name: str, content: bytes) -> None:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{name}") as out:
+            out.write(content)
+
+    sinks.each_file(rows, "name", "content", write)
+
+
+@query("select 'nested/' || doc_id || '.txt' as member, strlen(text)::bigint as bytes, sha256(text) as digest from documents")
+def archive_scan(spark, sf_dir):
+    """Members of tar and zip archives, read as streams, those of one ending."""
+    at = _folder(spark, "archives")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(8)).alias("part"))
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        part, out = int(rows["part"].iloc[0]), io.BytesIO()
+        items = [(f"nested/{i}.txt", t.encode()) for i, t in zip(rows["doc_id"], rows["text"])] + [("nested/more.json", b"{}")]
+        if part % 2:
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+                for name, data in items:
+                    book.writestr(name, data)
+        else:
+            with tarfile.open(fileobj=out, mode="w:gz" if part % 4 else "w") as tar:
+                for name, data in items:
+                    member = tarfile.TarInfo(name)
+                    member.size = len(data)
+                    tar.addfile(member, io.BytesIO(data))
+        return pd.DataFrame({"name": [f"a{part}.bin"], "content": [out.getvalue()]})
+
+    _written(docs.where("text is not null").groupBy("part").applyInPandas(packed, "name string, content binary"), at)
+    found = files.archive_members(spark, at, r"\.txt$")
+    return found.select("member", long(F.octet_length("content"), "bytes"), F.sha2("content", 256).alias("digest"))
+
+
+@query("select 'b' || item_id || '.xlsx' as book, 0::bigint as row, ['audio', '', 'text'] as cells from benchmark union all select 'b' || item_id || '.xlsx', 1, ['myaudio/' || item_id || '.wav', '', trim(regexp_replace(text, '\\s+', ' ', 'g'))] from benchmark")
+def workbook_scan(spark, sf_dir):
+    """First sheets of workbooks: shared and inline strings at their columns, blank rows left out."""
+    at = _folder(spark, "books")
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.squeeze(F.col("text")).alias("text"))
+
+    def made(parts):
+        space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        for part in parts:
+            names, contents = [], []
+            for i, text in zip(part["item_id"], part["text"]):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as book:
+                    book.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>audio</t></si><si><r><t>te</t></r><r><t>xt</t></r></si></sst>")
+                    head = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="2"/>'
+                    body = f'<row r="3"><c r="A3" t="inlineStr"><is><t>myaudio/{i}.wav</t></is></c><c r="C3" t="inlineStr"><is><t>{escape(text)}</t></is></c></row>'
+                    book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{head}{body}</sheetData></worksheet>")
+                names.append(f"b{i}.xlsx")
+                contents.append(out.getvalue())
+            yield pd.DataFrame({"name": names, "content": contents})
+
+    _written(items.mapInPandas(made, "name string, content binary"), at)
+    return files.sheets(spark, at).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("book"), "row", "cells")
+
+
+@query("select name, (octet_length(encode(text)) > 0) as there from (select 'f' || item_id || '.txt' as name, text from benchmark where item_id % 3 <> 2)")
+def tree_scan(spark, sf_dir):
+    """Files below a root by a pattern, without an excluded folder; contents aren't read."""
+    at = _folder(spark, "tree")
+    items = table(spark, sf_dir, "benchmark")
+    name = lambda folder, ending: F.concat(F.lit("f"), F.col("item_id").cast("string"), F.lit(ending))
+    rows = lambda which, ending: items.where(which).select(name("", ending).alias("name"), F.col("text").cast("binary").alias("content"))
+    _written(rows("item_id % 3 = 0", ".txt"), f"{at}/a")
+    _written(rows("item_id % 3 = 1", ".txt"), f"{at}/b/c")
+    _written(rows("item_id % 3 = 2", ".txt"), f"{at}/skipped")
+    _written(rows("item_id % 3 = 2", ".bin"), f"{at}/a")
+    found = files.listing(spark, at, "*.txt", "/skipped/")
+    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), (F.col("length") > 0).alias("there"))

@@ -70,7 +70,27 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    context = spark.sparkContext
+    context._nava_stored = [*getattr(context, "_nava_stored", []), path]
+    out._nava_path = path
+    return out
+
+
+def written(spark: SparkSession) -> frozenset[str]:
+    """The tables that stored() has written in this application."""
+    return frozenset(getattr(spark.sparkContext, "_nava_stored", []))
+
+
+def discard(spark: SparkSession, *kept: DataFrame, before: frozenset[str] = frozenset()) -> None:
+    """Remove the tables of stored() but for those given and those of before. Results that still read them must be done."""
+    context = spark.sparkContext
+    keep = {getattr(df, "_nava_path", None) for df in kept} | before
+    for path in getattr(context, "_nava_stored", []):
+        if path not in keep:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    context._nava_stored = [path for path in getattr(context, "_nava_stored", []) if path in keep]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -148,3 +148,15 @@ def test_long_variants_take_each_clip_once(spark):
     out, few = made(clips), made(clips.repartition(3), draws=2)
     assert len(out) == len(few) == 60 and out == made(clips.repartition(2))
     assert all(len(set(p)) == len(p) >= 2 and s >= 3.0 and all(x.startswith(split) for x in p) for split, _, p, s in out + few)
+
+
+def test_stored_tables_are_discarded(spark):
+    from nava import session
+
+    old = session.stored(spark.range(3), "old")
+    before = session.written(spark)
+    kept, gone = session.stored(spark.range(4), "kept"), session.stored(spark.range(5), "gone")
+    session.discard(spark, kept, before=before)
+    assert old.count() == 3 and kept.count() == 4 and session.written(spark) == before | {kept._nava_path}
+    with pytest.raises(Exception):
+        gone.count()
