@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nava.llm import bpe, jaccard, mixing, quality
 from nava.llm.queries import tokenizer_file
-from nava.session import stored, table
+from nava.session import discard, stored, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
+    before = written(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs, f"pipeline-{name}")
+            discard(spark, docs, before=before)  # what the stage left besides its result
     return docs
