@@ -195,19 +195,24 @@ SIZE = CHUNK + WIDTH - STEP
 
 
 def cut(key: int, text: bytes) -> tuple[list[bytes], np.ndarray]:
-    """All training chunks of a whole text, and for each a place in the order that all texts' chunks are drawn by."""
+    """All training chunks of a whole text, and for each a place in the order that all texts' chunks are drawn by.
+
+    A text's chunks are shuffled, and all texts' first ones come before any second one, so long texts don't crowd out short ones.
+    """
     random = np.random.default_rng([5, key % 2**32, zlib.crc32(text)])
     chunks = []
-    # Whole short texts are rare in a sample and look poor in variety, so each text also gives two short pieces.
-    for length in random.integers(24, HALF, 2):
-        start = text.find(b" ", int(random.integers(0, max(1, len(text) - int(length))))) + 1
-        if len(text) > 2 * length and start:
-            chunks.append(text[start : start + int(length)].rpartition(b" ")[0].ljust(SIZE, b"\0"))
     for start in range(0, max(1, len(text) - HALF), HALF):
         piece = text[start : start + SIZE]
         if len(piece) >= 32:
             chunks.append(piece.ljust(SIZE, b"\0"))
-    return chunks, random.integers(0, 1 << 62, len(chunks))
+    turns = random.permutation(len(chunks)).tolist()
+    # Whole short texts are rare in a sample and look poor in variety, so each text also gives two short pieces, in its first turns.
+    for turn, length in enumerate(random.integers(24, HALF, 2)):
+        start = text.find(b" ", int(random.integers(0, max(1, len(text) - int(length))))) + 1
+        if len(text) > 2 * length and start:
+            chunks.append(text[start : start + int(length)].rpartition(b" ")[0].ljust(SIZE, b"\0"))
+            turns.append(turn)
+    return chunks, (np.array(turns, np.int64) << 40) + random.integers(0, 1 << 40, len(chunks))
 
 
 def learn_filters(chunks: list[bytes], marks: np.ndarray, epochs: int) -> Network | None:
