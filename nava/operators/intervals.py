@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import islice, takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,70 +103,87 @@ class Settings:
 Energy = Callable[[float, float, float], tuple[float, float]]
 
 
+class _Recording:
+    """Speech intervals in order, a place among them that only moves on, and the pauses between them by their middles."""
+
+    def __init__(self, speech: list[tuple[float, float]], settings: Settings):
+        self.speech, self.settings, self.first = speech, settings, 0
+        between = ((left[1] + (right[0] - left[1]) / 2.0, right[0] - left[1]) for left, right in zip(speech, speech[1:]))
+        self.pauses = sorted(p for p in between if p[1] >= settings.silence)
+
+    def move(self, at: float) -> float | None:
+        """To the first interval that ends behind at. A pause longer than a clip is skipped; None when nothing is left."""
+        while self.first < len(self.speech) and self.speech[self.first][1] <= at:
+            self.first += 1
+        if self.first == len(self.speech):
+            return None
+        begins = self.speech[self.first][0]
+        return max(at, begins - self.settings.padding) if begins - at > self.settings.most else at
+
+    def pause_near(self, wanted: float, low: float, high: float) -> tuple[float, float] | None:
+        """Middle and length of the pause nearest to a place, of equally near ones the earlier, within low and high."""
+        right = bisect_left(self.pauses, (wanted,))
+        near = [p for p in self.pauses[max(0, right - 1) : right + 1] if low <= p[0] <= high]
+        return min(near, key=lambda p: (abs(p[0] - wanted), p)) if near else None
+
+    def ends_early(self, low: float, high: float) -> float | None:
+        """Where speech ends before low, if no more begins up to high."""
+        after = bisect_left(self.speech, (low,), self.first)
+        if after == self.first or self.speech[after - 1][1] > low or after < len(self.speech) and self.speech[after][0] <= high:
+            return None
+        return self.speech[after - 1][1]
+
+    def spoken(self, at: float, end: float) -> float:
+        inside = takewhile(lambda x: x[0] < end, islice(self.speech, self.first, None))
+        return sum((max(0.0, min(end, stops) - max(at, begins)) for begins, stops in inside), 0.0)
+
+
 def segment(duration: float, speech: list[tuple[float, float]], settings: Settings = Settings(), energy: Energy | None = None) -> list[dict]:
-    """Clips from one source's speech intervals, cut after cut.
+    """Clips from one source's speech intervals, which don't overlap, cut after cut.
 
     A cut is where speech ends, where a pause nearest the target length has its middle, at an energy dip, or at the longest
-    preferred length. Clips with too little speech are left out.
+    preferred length. Clips with too little speech are left out. The work is linear in intervals and clips.
     """
     if not math.isfinite(duration) or duration <= 0:
         raise ValueError("the duration must be finite and positive")
     speech = sorted(speech)
     if any(s < 0 or e <= s for s, e in speech):
         raise ValueError("intervals must begin at 0 or later and end after they begin")
-    energy = energy or (lambda start, end, window: (end, 0.0))
-    pauses = [(b[0] - a[1], a[1] + (b[0] - a[1]) / 2.0) for a, b in zip(speech, speech[1:])]
-    pauses = [p for p in pauses if p[0] >= settings.silence]
-    clips: list[dict] = []
     if not speech:
-        return clips
-    speech_end = min(duration, speech[-1][1])
-    stop = min(duration, speech_end + settings.padding)
-    at = max(0.0, speech[0][0] - settings.padding)
-
-    def skip_pause(at: float, ahead: list[tuple[float, float]]) -> float:
-        return max(at, ahead[0][0] - settings.padding) if ahead[0][0] - at > settings.most else at
-
-    while at < speech_end:
-        ahead = [x for x in speech if x[1] > at]
-        if not ahead:
-            break
-        at = skip_pause(at, ahead)
-        pause = dip = None
-        if stop - at <= settings.most:
-            end, kind = stop, "source_end"
-        else:
-            low, high = at + settings.least, min(at + settings.most, duration)
-            early = [x for x in ahead if x[0] < low]
-            later = next((x for x in ahead if x[0] >= low), None)
-            fits = [(abs(middle - (at + settings.target)), middle, gap) for gap, middle in pauses if low <= middle <= high]
-            if early and early[-1][1] <= low and (later is None or later[0] > high):
-                end, kind = min(duration, early[-1][1] + settings.padding), "natural_short"
-            elif fits:
-                _, end, pause = min(fits)
-                kind = "silence"
-            else:
-                end, dip = energy(min(high, at + settings.search_from), high, settings.window)
-                kind = "energy_fallback"
-                if dip < settings.dip_db:
-                    end, kind = high, "hard_cut"
+        return []
+    own = _Recording(speech, settings)
+    last = min(duration, speech[-1][1])
+    stop = min(duration, last + settings.padding)
+    clips: list[dict] = []
+    at = own.move(max(0.0, speech[0][0] - settings.padding))
+    while at is not None and at < last:
+        end, kind, pause, dip = _cut(own, at, stop, duration, settings, energy)
         end = min(end, duration, at + settings.hard)
         if end <= at:
             raise RuntimeError("a cut didn't advance")
-        spoken = sum(max(0.0, min(end, e) - max(at, s)) for s, e in ahead)
-        if spoken >= settings.least_speech:
+        seconds = own.spoken(at, end)
+        if seconds >= settings.least_speech:
             clips.append({
-                "start_sec": at, "end_sec": end, "speech_seconds": spoken, "speech_ratio": spoken / (end - at),
+                "start_sec": at, "end_sec": end, "speech_seconds": seconds, "speech_ratio": seconds / (end - at),
                 "boundary_type": kind, "boundary_silence_sec": pause, "energy_dip_db": dip,
             })
-        at = end
-        ahead = [x for x in speech if x[1] > at]
-        if not ahead:
-            break
-        at = skip_pause(at, ahead)
+        at = own.move(end)
     return clips
 
 
+def _cut(own: _Recording, at: float, stop: float, duration: float, settings: Settings, energy: Energy | None) -> tuple[float, str, float | None, float | None]:
+    """End, kind, pause and dip of the clip that begins at at: the first of the possible cuts that there is."""
+    if stop - at <= settings.most:
+        return stop, "source_end", None, None
+    low, high = at + settings.least, min(at + settings.most, duration)
+    if (ended := own.ends_early(low, high)) is not None:
+        return min(duration, ended + settings.padding), "natural_short", None, None
+    if (pause := own.pause_near(at + settings.target, low, high)) is not None:
+        return pause[0], "silence", pause[1], None
+    end, dip = energy(min(high, at + settings.search_from), high, settings.window) if energy else (high, 0.0)
+    return (high, "hard_cut", None, dip) if dip < settings.dip_db else (end, "energy_fallback", None, dip)
+
+
 SEGMENT_COLUMNS = "start_sec double, end_sec double, speech_seconds double, speech_ratio double, boundary_type string, boundary_silence_sec double, energy_dip_db double"
 
 
