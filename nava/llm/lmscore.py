@@ -51,6 +51,19 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and each value's place among them: a range of values at a time, as sorting all would take several times their memory."""
+    where, parts, size = np.empty(len(values), np.int32), [np.zeros(0, np.uint64)], 0
+    ranges = (values >> np.uint64(60)).astype(np.uint8)
+    for k in range(16):
+        rows = np.flatnonzero(ranges == k)
+        own, inverse = np.unique(values[rows], return_inverse=True)
+        where[rows] = inverse + size
+        parts.append(own)
+        size += len(own)
+    return np.concatenate(parts), where
+
+
 def pieces(most: int):
     """Pieces: their words of the target and of the background, and their documents as a compressed Arrow stream."""
 
@@ -98,9 +111,9 @@ def sender(bits: int):
         held: dict[bool, list[np.ndarray]] = {True: [], False: []}
         for _, text, mark in documents(data):
             held[mark] += grams(text)
-        near, far = (np.concatenate([np.zeros(0, np.uint64), *held[k]]) for k in (True, False))
-        values, where = np.unique(np.concatenate([near, far]), return_inverse=True)
-        counts = [np.bincount(w, minlength=len(values)).astype(np.int64) for w in (where[: len(near)], where[len(near) :])]
+        border = sum(map(len, held[True]))
+        values, where = ranked(np.concatenate([np.zeros(0, np.uint64), *held.pop(True), *held.pop(False)]))
+        counts = [np.bincount(w, minlength=len(values)) for w in (where[:border], where[border:])]
         shards = (values >> np.uint64(64 - bits)).astype(np.int64)
         starts = np.flatnonzero(np.diff(shards, prepend=-1))
         rows = [(packed(np.diff(values[i:j], prepend=np.uint64(0))), packed(counts[0][i:j]), packed(counts[1][i:j])) for i, j in zip(starts, [*starts[1:], len(values)])]
@@ -167,22 +180,24 @@ def scorer(near: int, far: int):
 
         def scores(data: bytes) -> pa.RecordBatch:
             docs = [(doc_id, mark, *grams(text)) for doc_id, text, mark in documents(data)]
-            _, where = np.unique(np.concatenate([x for d in docs for x in d[2:]]), return_inverse=True)
+            sizes = [(doc_id, mark, len(single), len(double)) for doc_id, mark, single, double in docs]
+            _, where = ranked(np.concatenate([x for d in docs for x in d[2:]]))
+            del docs
             # The sums are in the order of the piece's distinct n-grams.
             tables = [np.concatenate([np.zeros(0, np.int64), *(unpacked(x[k], np.int64) for x in sums)]) for k in (0, 1)]
             rows, at = [], 0
-            for doc_id, mark, single, double in docs:
-                middle, end = at + len(single), at + len(single) + len(double)
+            for doc_id, mark, single, double in sizes:
+                middle, end = at + single, at + single + double
                 words, pairs = where[at:middle], where[middle:end]
                 own = own_counts(words), own_counts(pairs)
                 found = []
                 for (side, total, scale), table in zip(models, tables):
                     one, two = table[words], table[pairs]
                     if side == mark:
-                        one, two, total = one - own[0], two - own[1], total - len(single)
-                    found.append(float(losses(one, two, total, scale).mean()) if len(single) else 0.0)
+                        one, two, total = one - own[0], two - own[1], total - single
+                    found.append(float(losses(one, two, total, scale).mean()) if single else 0.0)
                 a, b = found
-                rows.append((doc_id, len(single), a, b, a - b))
+                rows.append((doc_id, single, a, b, a - b))
                 at = end
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
