@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import re
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -156,3 +157,33 @@ def archive_page(page: Column, title: Column) -> Column:
         F.coalesce(_heading(page), title).alias("title"), part(2).alias("program_id"), basic_unescape(part(1)).alias("program_url"),
         basic_unescape(download_link(page, "mp3")["url"]).alias("mp3_url"), _described(page).alias("description"), F.array_join(F.array_distinct(named), " | ").alias("people"),
     )
+
+
+def robots_allow(path: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether a path may be read by a site's rules ("allow" or "disallow", pattern): the longest pattern that fits decides, allow on a tie.
+
+    In patterns * stands for any characters and a last $ for the path's end; an empty pattern is no rule.
+    """
+    used = sorted(((p, kind) for kind, p in rules if p), key=lambda r: (-len(r[0]), r[1]))
+    out = F.lit(True)
+    for pattern, kind in reversed(used):
+        ends = pattern.endswith("$")
+        text = ".*".join(map(re.escape, (pattern[:-1] if ends else pattern).split("*")))
+        out = F.when(path.rlike(f"^{text}{'$' if ends else ''}"), kind == "allow").otherwise(out)
+    return out
+
+
+def confirm_url(page: Column, base: Column) -> Column:
+    """The address behind a download's confirmation page: its form's action with the hidden fields as parameters; null without a form."""
+    form = F.regexp_extract(page, r"(?is)(<form\b[^>]*>.*?</form>)", 1)
+    action = F.nullif(basic_unescape(F.regexp_extract(form, r"(?i)<form\b[^>]*\baction=[\"']([^\"']+)", 1)), F.lit(""))
+    fields = F.filter(F.regexp_extract_all(form, F.lit(r"(?i)(<input\b[^>]*>)"), F.lit(1)), lambda t: t.rlike(r"(?i)\btype=[\"']hidden[\"']"))
+    part = lambda t, name: basic_unescape(F.regexp_extract(t, rf"(?i)\b{name}=[\"']([^\"']*)[\"']", 1))
+    pairs = F.transform(fields, lambda t: F.concat(F.url_encode(part(t, "name")), F.lit("="), F.url_encode(part(t, "value"))))
+    return F.when(action.isNotNull(), F.concat(absolute_url(base, action), F.lit("?"), F.array_join(pairs, "&")))
+
+
+def content_problem(kind: Column, size: Column, allowed: list[str]) -> Column:
+    """Why a response is no file of the wanted kinds: its type without parameters isn't listed, or it is empty; null if it is one."""
+    bare = F.lower(F.trim(F.split_part(F.coalesce(kind, F.lit("")), F.lit(";"), F.lit(1))))
+    return F.when(~bare.isin([a.lower() for a in allowed]), "content_type").when(F.coalesce(size, F.lit(0)) <= 0, "empty")

@@ -499,3 +499,34 @@ def tree_scan(spark, sf_dir):
     _written(rows("item_id % 3 = 2", ".bin"), f"{at}/a")
     found = files.listing(spark, at, "*.txt", "/skipped/")
     return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), (F.col("length") > 0).alias("there"))
+
+
+_ROBOTS = [("disallow", "/private"), ("allow", "/private/open"), ("disallow", "/*.pdf$"), ("disallow", ""), ("allow", "/x.pdf")]
+_SITE_PATHS = ("/a", "/private/x", "/private/open/y", "/b/c.pdf", "/b/c.pdf?x", "/x.pdf", "/privately")
+
+
+@query(f"select doc_id, {sql_pick('doc_id', *_SITE_PATHS)} as path, [true, false, true, false, true, false, false][doc_id % 7 + 1] as allowed from documents")
+def robots_rules(spark, sf_dir):
+    """Paths that a site's rules allow: the longest pattern decides."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", pick("doc_id", *_SITE_PATHS).alias("path"))
+    return rows.withColumn("allowed", H.robots_allow(F.col("path"), _ROBOTS))
+
+
+@query("""select doc_id, case when doc_id % 3 <> 0 then 'https://h/download?id=' || doc_id || '&confirm=t+%26' end as url, case when doc_id % 4 = 0 then 'content_type' when doc_id % 4 = 1 then 'empty' end as problem from documents""")
+def confirmed_downloads(spark, sf_dir):
+    """The address behind a confirmation page, and what is wrong with a response."""
+    key = F.col("doc_id").cast("string")
+    form = F.concat(F.lit('<form id="f" action="/download" method=get><input type="hidden" name="id" value="'), key, F.lit("\"><input type='submit' name=s value='go'><input name='confirm' type='hidden' value='t &amp;'></form>"))
+    kind = F.when(F.col("doc_id") % 4 == 0, "text/html; charset=utf-8").otherwise("Audio/MPEG; x=1")
+    rows = table(spark, sf_dir, "documents").withColumn("page", F.when(F.col("doc_id") % 3 != 0, form).otherwise("<p>none</p>"))
+    size = F.when(F.col("doc_id") % 4 == 1, 0).otherwise(5)
+    return rows.select("doc_id", H.confirm_url(F.col("page"), F.lit("https://h/uc")).alias("url"), H.content_problem(kind, size, ["audio/mpeg"]).alias("problem"))
+
+
+@query("select source || '_16k.zip' as name, min(doc_id)::bigint as size, 'md5:' || source as checksum, 'https://h/' || source as url from documents where source is not null group by source")
+def record_listing(spark, sf_dir):
+    """Files of one ending that JSON records list, each name once."""
+    rows = table(spark, sf_dir, "documents").where("source is not null").groupBy("source").agg(F.min("doc_id").alias("size"))
+    one = F.struct(F.concat("source", F.lit("_16k.zip")).alias("key"), "size", F.concat(F.lit("md5:"), "source").alias("checksum"), F.struct(F.concat(F.lit("https://h/"), "source").alias("self")).alias("links"))
+    other = F.struct(F.concat("source", F.lit("_48k.zip")).alias("key"), F.lit(1).cast("long").alias("size"), F.lit("x").alias("checksum"), F.struct(F.lit("u").alias("self")).alias("links"))
+    return files.record_files(rows.select(F.to_json(F.struct(F.array(other, one, one).alias("files"))).alias("payload")), "payload", "_16k.zip")

@@ -314,3 +314,12 @@ def split_listing(listing_: DataFrame, root: str, content: str) -> DataFrame:
     prefix = root.rstrip("/") + "/"
     relative = F.substr(F.col("path"), F.instr(F.col("path"), F.lit(prefix)) + F.lit(len(prefix)))
     return listing_.withColumn("kind", F.when(F.get(F.split(relative, "/"), F.lit(0)) == content, F.lit("content")).otherwise("metadata"))
+
+
+def record_files(records: DataFrame, payload: str, suffix: str = "") -> DataFrame:
+    """name, size, checksum, url of the files that JSON records list, those of one ending, each name once (the first record's)."""
+    kind = "struct<files:array<struct<key:string,size:bigint,checksum:string,links:struct<self:string>>>>"
+    rows = records.select(F.monotonically_increasing_id().alias("__record"), F.from_json(payload, kind).alias("r")).select("__record", F.posexplode("r.files").alias("__at", "f"))
+    rows = rows.select("__record", "__at", F.col("f.key").alias("name"), F.col("f.size").alias("size"), F.col("f.checksum").alias("checksum"), F.col("f.links.self").alias("url"))
+    order = Window.partitionBy("name").orderBy("__record", "__at")
+    return rows.where(F.col("name").endswith(suffix)).withColumn("__row", F.row_number().over(order)).where("__row = 1").select("name", "size", "checksum", "url")

@@ -160,3 +160,25 @@ def test_stored_tables_are_discarded(spark):
     assert old.count() == 3 and kept.count() == 4 and session.written(spark) == before | {kept._nava_path}
     with pytest.raises(Exception):
         gone.count()
+
+
+def test_streamed_files_and_arrays(tmp_path):
+    import hashlib
+    import io
+
+    import numpy as np
+
+    at = str(tmp_path / "a.mp3")
+    found = sinks.streamed([b"ab", b"", b"c"], "audio/mpeg; q=1", at, ("audio/mpeg",))
+    assert found == {"bytes": 3, "checksum": f"sha256:{hashlib.sha256(b'abc').hexdigest()}", "media_type": "audio/mpeg"}
+
+    def failing():
+        yield b"x"
+        raise OSError("gone")
+
+    for chunks, kind in (([], "audio/mpeg"), ([b"x"], "text/html"), (failing(), "audio/mpeg")):
+        with pytest.raises((ValueError, OSError)):
+            sinks.streamed(chunks, kind, str(tmp_path / "b.mp3"), ("audio/mpeg",))
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["a.mp3"]
+    values = np.arange(6.0).reshape(2, 3)
+    assert np.array_equal(np.load(io.BytesIO(sinks.npy_bytes(values))), values)
