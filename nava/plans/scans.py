@@ -15,7 +15,7 @@ from nava.functions import html as H
 from nava.functions import text as T
 from nava.plans import pipelines as P
 from nava.plans.catalogue import _PLAIN, _STRIP, _UNIT, _latin
-from nava.plans.registry import long, pick, query, sql_pick
+from nava.plans.registry import long, pick, query, rounded, sql_pick
 from nava.session import shared_folder, table
 from nava.sources import files, sinks
 from nava.streaming import incremental as Inc
@@ -530,3 +530,58 @@ def record_listing(spark, sf_dir):
     one = F.struct(F.concat("source", F.lit("_16k.zip")).alias("key"), "size", F.concat(F.lit("md5:"), "source").alias("checksum"), F.struct(F.concat(F.lit("https://h/"), "source").alias("self")).alias("links"))
     other = F.struct(F.concat("source", F.lit("_48k.zip")).alias("key"), F.lit(1).cast("long").alias("size"), F.lit("x").alias("checksum"), F.struct(F.lit("u").alias("self")).alias("links"))
     return files.record_files(rows.select(F.to_json(F.struct(F.array(other, one, one).alias("files"))).alias("payload")), "payload", "_16k.zip")
+
+
+_REFINED = "(partition by conv_id order by turn rows between unbounded preceding and 1 preceding)"
+
+
+@query(f"""with c as (select * from conversations where conv_id % 4 <> 3), h as (select conv_id, turn, text, coalesce(list('r ' || text) filter (role = 'user') over {_REFINED}, []) as h,
+coalesce(list(text) over (partition by conv_id order by turn rows between 1 following and 3 following), []) as f, row_number() over (partition by conv_id order by turn) - 1 as wave from c)
+select conv_id || '-' || turn as id, wave::bigint as wave, 'Title: ' || coalesce(c_name, '(omitted)') || chr(10) || 'Description: ' || coalesce(c_mktsegment, '(omitted)') || chr(10) || 'Preceding:' || chr(10) || case when len(h) = 0 then '(none)' else array_to_string(list_slice(h, greatest(len(h) - 2, 1), len(h)), chr(10)) end
+|| chr(10) || 'Target:' || chr(10) || text || chr(10) || 'Following:' || chr(10) || case when len(f) = 0 then '(none)' else array_to_string(f, chr(10)) end as prompt from h left join customer on c_custkey = conv_id and c_custkey % 2 = 0""")
+def refinement_prompts(spark, sf_dir):
+    """Prompts of chosen sources' targets: book metadata, the last refined texts before, the next raw ones after, and their wave."""
+    turns = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn")).withColumn("source_id", F.concat(F.col("conv_id").cast("string"), F.lit(":t")))
+    segments = turns.select("id", "source_id", F.col("turn").cast("double").alias("start_sec"))
+    books = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("book_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("description"))
+    refined = turns.where("role = 'user'").select("id", F.concat(F.lit("r "), "text").alias("text"))
+    chosen = turns.where("conv_id % 4 <> 3").select("source_id").distinct()
+    return P.refinement_requests(segments, turns.select("id", F.col("text").alias("normalized")), chosen, books, refined).select("id", "wave", "prompt")
+
+
+@query(f"""with w as (select doc_id, doc_id::varchar as id, case when doc_id % 11 = 0 then '/abs/' else 'clips/' end || doc_id || '.wav' as path, sha256(text) as checksum, {_latin('source')} as n from documents where source is not null),
+k as (select *, doc_id % 3 = 0 as known, doc_id % 6 = 0 as failed, doc_id % 9 = 0 as stale from w)
+select id, known and not failed and not stale as reused, case when known and not failed and not stale then 'before' when doc_id % 7 = 0 then null else 't ' || doc_id end as transcript,
+case when known and not failed and not stale then null when starts_with(path, '/') then 'invalid_segment_path' when doc_id % 7 = 0 then 'inference_failed' else 'normalization_rejected' end as reason from k""")
+def transcription_ledger(spark, sf_dir):
+    """The next ledger: prior rows of the same digest and checksum that did not fail are kept, the others are worked on and judged."""
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    key = F.col("doc_id").cast("string")
+    path = F.concat(F.when(F.col("doc_id") % 11 == 0, "/abs/").otherwise("clips/"), key, F.lit(".wav"))
+    segments = docs.select(key.alias("id"), path.alias("path"), F.sha2("text", 256).alias("checksum"), "doc_id")
+    prior = segments.where("doc_id % 3 = 0").select(
+        "id", "path", "checksum", F.when(F.col("doc_id") % 9 == 0, "old").otherwise("new").alias("digest"), F.lit("before").alias("transcript"), F.lit("before").alias("normalized"),
+        F.lit(None).cast("string").alias("reason"), (F.col("doc_id") % 6 == 0).alias("operational"),
+    )
+
+    def make():
+        def model(paths):
+            numbers = [int(p.rsplit("/", 1)[1].split(".")[0]) for p in paths]
+            if any(n % 7 == 0 for n in numbers):
+                raise ValueError("no")
+            return [f"t {n}" for n in numbers]  # digits, which the Latin pack rejects
+
+        return model
+
+    found = P.transcription(segments.drop("doc_id"), segments.select("path"), prior, make, "new", T.normalize_latin)
+    return found.select("id", "reused", "transcript", "reason")
+
+
+@query(f"""with r as (select lang as dataset, {_latin('text')} as n from documents where lang in ('en', 'de')), w as (select dataset, n, string_split(n, ' ') as words from r where n <> '' and len(string_split(n, ' ')) <= 150)
+select coalesce(dataset, 'all') as dataset, count(*)::bigint as examples, round(count(*) / sum(len(words))::double, 6) as wer, round(sum(len(words[-1]) + (len(words) > 1)::int) / sum(len(n))::double, 6) as cer from w group by rollup(dataset)""")
+def evaluated_sets(spark, sf_dir):
+    """Error rates by dataset and overall of a recognizer that loses each last word; empty and long references are skipped."""
+    docs = table(spark, sf_dir, "documents")
+    tables = {lang: docs.where(F.col("lang") == lang).select(T.normalize_latin(F.col("text")).alias("path"), F.col("text").alias("sentence")) for lang in ("de", "en")}
+    rates = P.evaluation(tables, lambda: lambda paths: [p.rpartition(" ")[0] for p in paths], T.normalize_latin, 150)[1]
+    return rates.select("dataset", "examples", rounded("wer", "wer"), rounded("cer", "cer"))
