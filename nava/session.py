@@ -33,7 +33,7 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     bytes_key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not context.getConf().contains(bytes_key):
-        spark.conf.set(bytes_key, "16m")  # whole texts: a batch is bounded by its bytes, not by its rows alone
+        spark.conf.set(bytes_key, "8m")  # whole texts: a batch is bounded by its bytes, not by its rows alone
     if getattr(context, "_nava_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
