@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from nava.session import ship
 
 #: Encodings (words, and their characters) and pair answers that a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 250_000
 KEPT_CHARS = 8_000_000
-KEPT_PAIRS = 400_000
+KEPT_PAIRS = 250_000
 END = "</w>"
 
 
